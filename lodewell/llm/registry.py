@@ -1,10 +1,11 @@
 """The training-data queries for __spark_entry__.py, and SQL for those that SQL can express."""
 
 from lodewell.llm.bpe import op9_byte_level_bpe
+from lodewell.llm.fingerprint import ORACLE_OP1, op1_document_fingerprints
 from lodewell.llm.langid import op10_language_id
 from lodewell.llm.mixing import ORACLE_OP3, op3_source_mixing
 from lodewell.llm.tokenstore import op4_token_store
 from lodewell.llm.toxicity import op5_toxicity
 
-QUERIES = {f.__name__: f for f in (op3_source_mixing, op4_token_store, op5_toxicity, op9_byte_level_bpe, op10_language_id)}
-ORACLES: dict[str, str] = {"op3_source_mixing": ORACLE_OP3}
+QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op3_source_mixing, op4_token_store, op5_toxicity, op9_byte_level_bpe, op10_language_id)}
+ORACLES: dict[str, str] = {"op1_document_fingerprints": ORACLE_OP1, "op3_source_mixing": ORACLE_OP3}
