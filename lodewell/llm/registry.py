@@ -5,7 +5,8 @@ from lodewell.llm.fingerprint import ORACLE_OP1, op1_document_fingerprints
 from lodewell.llm.langid import op10_language_id
 from lodewell.llm.mixing import ORACLE_OP3, op3_source_mixing
 from lodewell.llm.tokenstore import op4_token_store
+from lodewell.llm.topk import ORACLE_OP2, op2_exact_top_k
 from lodewell.llm.toxicity import op5_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op3_source_mixing, op4_token_store, op5_toxicity, op9_byte_level_bpe, op10_language_id)}
-ORACLES: dict[str, str] = {"op1_document_fingerprints": ORACLE_OP1, "op3_source_mixing": ORACLE_OP3}
+QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_exact_top_k, op3_source_mixing, op4_token_store, op5_toxicity, op9_byte_level_bpe, op10_language_id)}
+ORACLES: dict[str, str] = {"op1_document_fingerprints": ORACLE_OP1, "op2_exact_top_k": ORACLE_OP2, "op3_source_mixing": ORACLE_OP3}
