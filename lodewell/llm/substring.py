@@ -48,8 +48,10 @@ def powers(base: int, n: int) -> np.ndarray:
 class WordHashes:
     """Two hashes of every word of some texts (runs of anything but ASCII white space), and of any window of them."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], lower: bool = False):
         cp = np.frombuffer("".join(f"{t}\n" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        if lower:
+            cp = np.where((cp >= 65) & (cp <= 90), cp + 32, cp)
         inside = ~((cp == 32) | ((cp >= 9) & (cp <= 13)))
         starts = np.flatnonzero(inside & np.concatenate([[True], ~inside[:-1]]))
         ends = np.cumsum([len(t) + 1 for t in texts])
