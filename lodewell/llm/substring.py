@@ -58,7 +58,7 @@ class WordHashes:
         at = np.searchsorted(starts, ends)
         #: First word of each text, and the end of the last.
         self.bounds = np.concatenate([[0], at]).astype(np.int64)
-        self.sums, self.back = [], []
+        self.words, self.sums, self.back = [], [], []
         if not len(starts):
             return
         spot = np.arange(len(cp), dtype=np.int64)
@@ -67,6 +67,7 @@ class WordHashes:
         for base in BASES:
             letters = np.where(inside, mix64(cp.astype(np.uint64) + np.uint64(base)) * powers(base, longest)[np.minimum(spot, longest - 1)], np.uint64(0))
             words = mix64(np.add.reduceat(letters, starts))
+            self.words.append(words)
             self.sums.append(np.concatenate([[np.uint64(0)], np.cumsum(words * powers(base, len(words)), dtype=np.uint64)]))
             self.back.append(powers(pow(base, -1, 1 << 64), len(words)))
 
