@@ -237,7 +237,7 @@ def reach(found: list[tuple[DataFrame, DataFrame]], guesses: DataFrame, every: D
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, similar: int = SIMILAR) -> DataFrame:
-    """A row for each of docs: its ids (a, b), doc_id, n_shingles, component_id.
+    """A row for each of docs: its ids (a, b), doc_id, n_shingles, component_id, label (of its group; null without shingles).
 
     Rows link if 100 * intersection >= similar * union of their distinct shingles of `size` words. component_id is
     the smallest doc_id that links lead to, the row's own included; null ids are passed over. Null, empty and
@@ -255,15 +255,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, similar: int = SIMILAR) -> D
         grouped = named.join(components(found), "node", "left").withColumn("label", F.coalesce("label", "node"))
     grouped = stored(grouped)
     ids = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
-    of = grouped.join(ids, "label").select("node", "component_id")
+    of = grouped.join(ids, "label").select("node", "label", "component_id")
     out = rows.select("a", "b", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, node()).alias("node")).join(of, "node", "left")
-    return out.select("a", "b", "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("a", "b", "doc_id", "n_shingles", "label", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, similar: int = SIMILAR) -> DataFrame:
-    """docs without near-duplicates: of each group the row of the smallest doc_id stays (one of repeated rows; where a group has null ids only, one of its texts), with docs' columns."""
-    groups = near_duplicates(docs, size, similar).where("doc_id <=> component_id").select("a", "b", "component_id", "n_shingles")
-    one = groups.groupBy("component_id", "n_shingles", "a", "b").count().select(F.col("a").alias("__lw_a"), F.col("b").alias("__lw_b")).distinct()
+    """docs without near-duplicates, with docs' columns: of each group the row of the smallest doc_id stays.
+
+    Where several rows of a group have that doc_id (or the group has null ids only) one of them stays. Rows
+    without shingles all stay, but for repeats of one doc_id and text.
+    """
+    first = near_duplicates(docs, size, similar).where("doc_id <=> component_id")
+    group = F.coalesce("label", F.concat(F.lit("-"), F.hex("a"), F.hex("b")))
+    one = first.groupBy(group.alias("g")).agg(F.min(F.struct("a", "b")).alias("x")).select(F.col("x.a").alias("__lw_a"), F.col("x.b").alias("__lw_b"))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     return keyed(docs).join(one, ["__lw_a", "__lw_b"]).dropDuplicates(["__lw_a", "__lw_b"]).select(*columns)
 
