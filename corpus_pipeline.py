@@ -1,19 +1,68 @@
-"""The corpus pipeline: stages that each take and return documents."""
+"""The corpus pipeline: documents through five of the training-data operators.
+
+Each stage takes and returns documents (the last: their token digests), works on all rows that the stage before
+kept, and leaves the columns of documents as they are, extra ones included.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodewell.llm import bpe, langid, mixing, neardup, substring
+from lodewell.llm.common import stored
+
+
+def columns(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents of no language: null texts and texts without a letter."""
+    model = langid.fit(docs)
+    return langid.identify(docs, model).where("lang_pred <> 'und'").select(*columns(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    return neardup.keep_one(docs)
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
-#: The language model and the tokenizer have no SQL form; tests hold the pipeline against a brute-force version.
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes passages that repeat; a text without one stays as it is, a document of nothing else goes."""
+    done = substring.remove(docs)
+    changed = F.col("__lw_removed") > 0
+    text = F.when(changed, F.col("__lw_kept")).otherwise(F.col("text"))
+    put = {"text": text, "n_chars": F.when(changed, F.length("__lw_kept").cast(dict(docs.dtypes).get("n_chars", "bigint"))).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
+    kept = done.where(~changed | (F.col("__lw_removed") < F.col("__lw_words")))
+    return kept.select(*[put[c].alias(c) if put.get(c) is not None else F.col(f"`{c}`") for c in docs.columns])
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Emits every document as often as its source's weight asks for."""
+    return mixing.mix(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encodes and decodes every document; returns its token count and the digests of ids and decoded bytes."""
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("substring_dedup", cut_repeated_passages),
+    ("source_mixing", mix_sources),
+    ("bpe", tokenize),
+]
+#: Language identification and byte-pair merging have no SQL form; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lodewell.llm.common import stored
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
