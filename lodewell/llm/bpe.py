@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import base64
 import heapq
+import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from lodewell.llm.common import BATCH_CHARS, binary, chunks, table
 from lodewell.llm.pretokenize import pieces, split
 
-CACHED, CACHED_CHARS, LONG = 250_000, 48, 128
+CACHED, CACHED_CHARS, LONG = 500_000, 48, 128
 NONE = 1 << 60
 
 
@@ -84,57 +86,56 @@ class SliceEncoder:
 
     def __init__(self, ids_of, dtype: str = "<u4"):
         self.ids_of, self.dtype, self.cache = ids_of, dtype, {}
+        self.code = next(c for c in "HIL" if array(c).itemsize == np.dtype(dtype).itemsize)
+
+    def packed(self, word: str) -> bytes:
+        ids = array(self.code, self.ids_of(word))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def __call__(self, slices: list[str]) -> list[bytes]:
-        cache = self.cache
-        out = list(map(cache.get, slices))
+        out = list(map(self.cache.get, slices))
         if None in out:
-            if len(cache) > CACHED:
-                cache.clear()
-            fresh: dict[str, bytes] = {}
-            for i, x in enumerate(out):
-                if x is None:
-                    word = slices[i]
-                    if (got := fresh.get(word)) is None:
-                        got = fresh[word] = np.array(self.ids_of(word), self.dtype).tobytes()
-                    out[i] = got
-            cache.update((w, x) for w, x in fresh.items() if len(w) <= CACHED_CHARS)
+            fresh = {w: self.packed(w) for w in {w for w, x in zip(slices, out, strict=True) if x is None}}
+            out = [fresh[w] if x is None else x for w, x in zip(slices, out, strict=True)]
+            if len(self.cache) > CACHED:
+                self.cache.clear()
+            self.cache.update(fresh if max(map(len, fresh)) <= CACHED_CHARS else {w: x for w, x in fresh.items() if len(w) <= CACHED_CHARS})
         return out
 
-    def texts(self, texts: list[str]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
-        """For each text: id bytes, the slices' offsets, the slices' id counts."""
-        width = np.dtype(self.dtype).itemsize
-        for text in texts:
-            if len(text) > 2 * BATCH_CHARS:
-                parts, offsets, counts, at = [], [], [], 0
-                for piece in pieces(text, BATCH_CHARS):
-                    slices, ((a, b),), starts = split([piece])
-                    got = self(slices[a:b])
-                    parts.append(b"".join(got))
-                    offsets.append(starts[a:b] + at)
-                    counts.append(np.fromiter(map(len, got), np.int64, len(got)) // width)
-                    at += len(piece)
-                yield b"".join(parts), np.concatenate(offsets), np.concatenate(counts)
-        if all(len(t) <= 2 * BATCH_CHARS for t in texts):
-            slices, spans, starts = split(texts)
-            got = self(slices)
-            counts = np.fromiter(map(len, got), np.int64, len(got)) // width
-            for a, b in spans.tolist():
-                yield b"".join(got[a:b]), starts[a:b], counts[a:b]
-
-    def all(self, texts: list[str]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
-        """texts() with long texts taken by themselves, in order."""
+    def lengths(self, got: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(len, got), np.int64, len(got)) // np.dtype(self.dtype).itemsize
+
+    def texts(self, texts: list[str], offsets: bool) -> Iterator[tuple[bytes, np.ndarray | None, np.ndarray | None]]:
+        slices, spans, starts = split(texts)
+        got = self(slices)
+        origin = 0
+        for text, (a, b) in zip(texts, spans.tolist(), strict=True):
+            yield b"".join(got[a:b]), starts[a:b] - origin if offsets else None, self.lengths(got[a:b]) if offsets else None
+            origin += len(text) + 1
+
+    def all(self, texts: list[str], offsets: bool = False) -> Iterator[tuple[bytes, np.ndarray | None, np.ndarray | None]]:
+        """For each text: id bytes and, if asked, its slices' code point offsets and id counts. A long text goes by pieces."""
         run: list[str] = []
         for t in texts:
-            if len(t) > 2 * BATCH_CHARS:
-                if run:
-                    yield from self.texts(run)
-                    run = []
-                yield from self.texts([t])
-            else:
+            if len(t) <= 2 * BATCH_CHARS:
                 run.append(t)
+                continue
+            if run:
+                yield from self.texts(run, offsets)
+                run = []
+            ids, at, counts, origin = [], [], [], 0
+            for piece in pieces(t, BATCH_CHARS):
+                for x, o, c in self.texts([piece], offsets):
+                    ids.append(x)
+                    if offsets:
+                        at.append(o + origin)
+                        counts.append(c)
+                origin += len(piece)
+            yield b"".join(ids), np.concatenate(at) if offsets else None, np.concatenate(counts) if offsets else None
         if run:
-            yield from self.texts(run)
+            yield from self.texts(run, offsets)
 
 
 def encode(docs: DataFrame, rank_path: str, *, decode_too: bool = False, slices: bool = False) -> DataFrame:
@@ -154,7 +155,7 @@ def encode(docs: DataFrame, rank_path: str, *, decode_too: bool = False, slices:
             ids_of = batch.column(0)
             for first, texts in chunks(batch.column(1).to_pylist()):
                 ids, offsets, counts = [], [], []
-                for x, o, c in encoder.all(texts):
+                for x, o, c in encoder.all(texts, slices):
                     ids.append(x)
                     if slices:
                         offsets.append(o.astype("<u4").tobytes())

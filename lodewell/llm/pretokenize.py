@@ -19,6 +19,8 @@ import numpy as np
 L, N, O, A1, A2, SPACE_END, WHITE_END, WHITE, STOP = range(9)
 INIT, IN_L, IN_N, IN_O, IN_WHITE, LED, ONE_LEFT, TWO_LEFT, DONE = range(9)
 STATES, ROW = 9, 256
+#: Symbols after which the state does not depend on the one before.
+RESETS = np.isin(np.arange(9), [SPACE_END, WHITE_END, WHITE, STOP])
 #: A place where a slice begins whatever comes before.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
 
@@ -50,7 +52,7 @@ def automaton() -> tuple[np.ndarray, np.ndarray]:
         begins[symbol, [IN_O, LED]] = False
     to[SPACE_END], to[WHITE_END], to[WHITE], to[STOP] = LED, IN_WHITE, IN_WHITE, INIT
     begins[WHITE, IN_WHITE] = False
-    return to.ravel(), begins.ravel()
+    return to.ravel().astype(np.intp), begins.ravel()
 
 
 def symbols(cp: np.ndarray, stops: np.ndarray) -> np.ndarray:
@@ -74,25 +76,47 @@ def symbols(cp: np.ndarray, stops: np.ndarray) -> np.ndarray:
 
 
 def slice_starts(sym: np.ndarray) -> np.ndarray:
-    """Places where slices begin, by a blocked scan of transition functions."""
+    """Places where slices begin, by a blocked scan of transition functions.
+
+    Rows of ROW characters are replayed side by side. A row with a resetting symbol (one that leads to the same
+    state from any) is a constant function, known from its replay; only the others are composed state by state.
+    The scan over rows gives each its entry state, and the characters before its first reset are replayed anew.
+    """
     to, begins = automaton()
     n = len(sym)
     rows = -(-n // ROW)
     grid = np.full(rows * ROW, STOP, np.uint8)
     grid[:n] = sym
-    grid = np.ascontiguousarray(grid.reshape(rows, ROW).T).astype(np.intp) * STATES
-    f = np.tile(np.arange(STATES, dtype=np.uint8), (rows, 1))
-    for column in grid:
-        f = to[column[:, None] + f]
-    step = 1
-    while step < rows:  # inclusive scan: f[i] becomes the composition of rows 0..i
-        f[step:] = np.take_along_axis(f[step:], f[:-step].astype(np.intp), axis=1)
-        step *= 2
-    state = np.concatenate([[INIT], f[:-1, INIT]]).astype(np.uint8)
+    by_row = grid.reshape(rows, ROW)
+    grid = np.ascontiguousarray(by_row.T).astype(np.intp) * STATES
     marks = np.empty((ROW, rows), bool)
+    state = np.full(rows, INIT, np.intp)
     for i, column in enumerate(grid):
         at = column + state
         marks[i], state = begins[at], to[at]
+    resets = RESETS[by_row]
+    bound = resets.any(1)
+    first = np.where(bound, resets.argmax(1) + 1, ROW)
+    f = np.repeat(state[:, None], STATES, 1)
+    if len(free := np.flatnonzero(~bound)):
+        own = np.tile(np.arange(STATES), (len(free), 1))
+        for column in grid[:, free]:
+            own = to[column[:, None] + own]
+        f[free] = own
+        step = 1
+        while step < rows:  # inclusive scan: f[i] becomes the composition of rows 0..i
+            f[step:] = np.take_along_axis(f[step:], f[:-step], axis=1)
+            step *= 2
+    state = np.concatenate([[INIT], f[:-1, INIT]])
+    order = np.argsort(-first, kind="stable")
+    order = order[state[order] != INIT]
+    left = np.searchsorted(-first[order], -np.arange(ROW), "left")
+    state = state[order]
+    for i in range(ROW):  # rows whose first reset is at column i or later
+        if not (k := left[i]):
+            break
+        at = grid[i, order[:k]] + state[:k]
+        marks[i, order[:k]], state = begins[at], to[at]
     return np.flatnonzero(marks.T.ravel()[:n])
 
 
@@ -108,7 +132,7 @@ def pieces(text: str, limit: int) -> list[str]:
 
 
 def split(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """All slices of the texts in order; where each text's slices begin and end among them; each slice's code point offset in its text."""
+    """All slices of the texts in order; where each text's slices begin and end among them; each slice's code point offset in the texts joined by single separators."""
     joined = "\n".join(texts) + "\n"
     cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     stops = np.cumsum([len(t) + 1 for t in texts]) - 1
@@ -116,7 +140,4 @@ def split(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     at = starts.tolist()
     slices = [joined[a:b] for a, b in zip(at, [*at[1:], len(joined)], strict=True)]
     ends = np.searchsorted(starts, stops)
-    firsts = np.concatenate([[0], ends[:-1] + 1])
-    origin = np.concatenate([[0], stops[:-1] + 1])
-    owner = np.repeat(np.arange(len(texts)), np.diff(np.concatenate([firsts, [len(starts)]])))
-    return slices, np.stack([firsts, ends], 1), starts - origin[owner]
+    return slices, np.stack([np.concatenate([[0], ends[:-1] + 1]), ends], 1), starts
