@@ -30,7 +30,7 @@ from lodewell.llm.bpe import SliceEncoder
 from lodewell.llm.common import binary, chunks, open_fs, shared_dir, table
 
 MAGIC = b"LWTOK1"
-#: The dictionary is trained on at most so many documents, and so many ids of each; it never changes what is stored.
+#: The dictionary is trained on about so many documents, by the hash of their ids, and so many ids of each; it never changes what is stored.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES, LEVEL = 600, 8_000, 64 << 10, 3
 #: Documents a shard, about; shards at most.
 SHARD_DOCS, MOST_SHARDS = 20_000, 20_000
@@ -53,8 +53,16 @@ def model(path: str):
 def encoder(path: str) -> SliceEncoder:
     """Slices by the pre-tokeniser, their ids from the tokenizers library; strings of special tokens are ordinary text."""
     bpe, alphabet, dtype = model(path)
-    tokenize = bpe.tokenize
-    return SliceEncoder(lambda word: [t.id for t in tokenize(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(alphabet))], dtype)
+    tokenize, space = bpe.tokenize, alphabet[32]
+
+    def ids_of(word: str) -> list[int]:
+        if word.isascii() and word.isprintable():  # these bytes stand for themselves, but for the space
+            shown = word.replace(" ", space)
+        else:
+            shown = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(alphabet)
+        return [t.id for t in tokenize(shown)]
+
+    return SliceEncoder(ids_of, dtype)
 
 
 def train_dictionary(samples: list[bytes]) -> bytes:
@@ -89,8 +97,9 @@ def write_store(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 0)
     dtype = model(tokenizer_path)[2]
     end = np.array([end_id], dtype).tobytes()
 
-    sample = docs.where("text <> ''").select(F.xxhash64("doc_id", F.length("text")).alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy("h", "text").limit(SAMPLE_DOCS)
-    trained = [ids for ids, _, _ in encoder(tokenizer_path).all([r.text for r in sample.collect()])]
+    unit = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    sample = docs.where((F.col("text") != "") & (unit < min(1.0, SAMPLE_DOCS / max(1, n)))).select(F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    trained = [ids for ids, _, _ in encoder(tokenizer_path).all(sorted(r.text for r in sample.collect()))]
     dictionary = train_dictionary(trained)
     digest = hashlib.sha256(dictionary).digest()
 
