@@ -67,8 +67,8 @@ def with_source(docs: DataFrame, sources: DataFrame, columns: list[str]) -> Data
     on = docs["source"].eqNullSafe(F.col("__lw_source"))
     if sources.count() <= BROADCAST_ROWS:
         return docs.join(F.broadcast(wanted), on)
-    salted = docs.withColumn("__lw_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
-    spread = wanted.withColumn("__lw_at", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    salted = docs.withColumn("__lw_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS).cast("long")))
+    spread = wanted.withColumn("__lw_at", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     return salted.join(spread, salted["source"].eqNullSafe(F.col("__lw_source")) & (F.col("__lw_salt") == F.col("__lw_at"))).drop("__lw_salt", "__lw_at")
 
 
