@@ -62,6 +62,12 @@ def summed(keys: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray]
     return [k[first] for k in keys], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
 
 
+def stretches(x: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, begin, end) of each run of equal values."""
+    edges = np.flatnonzero(np.diff(x, prepend=-1)).tolist()
+    return zip(x[edges].tolist(), edges, [*edges[1:], len(x)][: len(edges)], strict=True)
+
+
 def deltas(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=x[:1] * 0)
 
@@ -81,14 +87,13 @@ class Vocabulary:
         distinct, back = np.unique(hashes, return_inverse=True)
         ids, counts = np.full(len(distinct), -1, np.int64), np.zeros(len(distinct), np.int64)
         bucket = (distinct >> np.uint64(64 - self.bits)).astype(np.int64)
-        edges = np.flatnonzero(np.diff(bucket, prepend=-1))
-        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(distinct)], strict=True):
-            got = self.file(int(bucket[a]))
+        for i, a, b in stretches(bucket):
+            got = self.file(i)
             if got is None:
                 continue
             at = np.searchsorted(got["hashes"], distinct[a:b])
             hit = got["hashes"][np.minimum(at, len(got["hashes"]) - 1)] == distinct[a:b]
-            ids[a:b] = np.where(hit, at + self.bases[int(bucket[a])], -1)
+            ids[a:b] = np.where(hit, at + self.bases[i], -1)
             counts[a:b] = np.where(hit, got["counts"][np.minimum(at, len(got["counts"]) - 1)], 0)
         return ids[back], counts[back]
 
@@ -128,11 +133,10 @@ def sent(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 def cut(shard: np.ndarray, columns: list[np.ndarray], ngram: int) -> list[tuple[int, int, bytes]]:
     """Sorted columns (the last: counts) by shard, packed: differences of the first, the others as they are."""
     order = np.argsort(shard, kind="stable")
-    edges = np.flatnonzero(np.diff(shard[order], prepend=-1)).tolist()
     out = []
-    for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
+    for i, a, b in stretches(shard[order]):
         first, *rest = (c[order[a:b]] for c in columns)
-        out.append((int(shard[order[a]]), ngram, pack([deltas(first), *[r.astype(np.int32) if r.max(initial=0) < 1 << 31 else r for r in rest]])))
+        out.append((i, ngram, pack([deltas(first), *[r.astype(np.int32) if r.max(initial=0) < 1 << 31 else r for r in rest]])))
     return out
 
 
@@ -277,9 +281,8 @@ class Model:
             at, context, word = grams(ids, lengths, order, v.size)
             shard = shard_of(context, self.shards)
             by = np.argsort(shard, kind="stable")
-            edges = np.flatnonzero(np.diff(shard[by], prepend=-1)).tolist()
-            for a, b in zip(edges, [*edges[1:], len(by)], strict=True):
-                if (here := self.level(order, int(shard[by[a]]))) is not None:
+            for i, a, b in stretches(shard[by]):
+                if (here := self.level(order, i)) is not None:
                     rows = by[a:b]
                     seen, back = here.weights(context[rows], word[rows])
                     p[at[rows]] = seen + back * p[at[rows]]
