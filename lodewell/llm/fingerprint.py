@@ -85,7 +85,8 @@ def bucketed(docs: DataFrame) -> DataFrame:
     if cuts > 1:
         widths = literal([max(1, (b - a) // cuts + 1) for a, b in zip(splits, [*splits[1:], splits[-1] + BUCKET_ROWS], strict=True)])
         at = F.greatest(F.col("bucket"), F.lit(1)).cast("int")
-        cut = F.least((F.col("doc_id") - F.element_at(literal(splits), at)) / F.element_at(widths, at), F.lit(cuts - 1))
+        far = F.col("doc_id").cast("double") - F.element_at(literal(splits), at).cast("double")  # differences of longs may overflow
+        cut = F.least(far / F.element_at(widths, at), F.lit(cuts - 1))
         out = out.withColumn("bucket", F.col("bucket") * cuts + F.floor(cut).cast("long"))
     return out.withColumn("bucket", F.coalesce("bucket", F.lit(-1))).drop("__lw_group")
 

@@ -52,7 +52,8 @@ def test_roots_and_differing_branches(spark):
 
 def test_buckets_close_their_ends(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "BUCKET_ROWS", 4)
-    for ids in ([5 * i for i in range(60)], [1] * 9 + [10**15, 10**15 + 1, 3] + list(range(100, 130))):
+    for quantiles, ids in ((3, [5 * i for i in range(60)]), (3, [-(1 << 63) + 9, (1 << 63) - 9, *range(50)]), (4096, [5 * i for i in range(60)]), (4096, [1] * 9 + [10**15, 10**15 + 1, 3] + list(range(100, 130)))):
+        monkeypatch.setattr(fingerprint, "QUANTILES", quantiles)
         df = spark.createDataFrame([(i, f"t{k:03d}") for k, i in enumerate(ids)], "doc_id long, text string")
         got = {r.text: r.following for r in fingerprint.with_next(df).collect()}
         order = [t for _, t in sorted(((i, f"t{k:03d}") for k, i in enumerate(ids)), key=lambda r: (-r[0], r[1]))]
@@ -267,17 +268,17 @@ def test_elias_fano(values):
 # Near-duplicates
 
 
-@pytest.mark.parametrize("size", [1, 2, 5])
+@pytest.mark.parametrize("size", [2, 5])
 def test_near_duplicates_of_messy_rows(messy, empty, size):
     got = neardup.near_duplicates(messy, size).collect()
     sizes, ids, groups = near(IDS, TEXTS, size)
     assert by_id((r.doc_id, r.n_shingles, r.component_id) for r in got) == by_id(zip(IDS, sizes, [c if n else i for i, n, c in zip(IDS, sizes, ids, strict=True)], strict=True))
-    kept = neardup.keep_one(messy, size)
-    assert kept.columns == messy.columns
-    blank = {(i, t) for i, t, n in zip(IDS, TEXTS, sizes, strict=True) if not n}
-    assert kept.count() == len({g for g, n in zip(groups, sizes, strict=True) if n}) + len({(i, t or "") for i, t in blank})
     if size == 5:
-        assert neardup.near_duplicates(empty).count() == 0 and neardup.keep_one(empty).count() == 0
+        kept = neardup.keep_one(messy, size)
+        assert kept.columns == messy.columns
+        blank = {(i, t or "") for i, t, n in zip(IDS, TEXTS, sizes, strict=True) if not n}
+        assert kept.count() == len({g for g, n in zip(groups, sizes, strict=True) if n}) + len(blank)
+        assert neardup.keep_one(empty).count() == 0
 
 
 def test_chains_around_the_threshold(spark):
