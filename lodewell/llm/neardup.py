@@ -125,15 +125,15 @@ def bucket_rows(shared: DataFrame, classes: DataFrame) -> DataFrame:
         for batch in batches:
             nodes, counts, keys = [], [], []
             for name, bands, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                at = np.frombuffer(b"".join(found), "<i4")
+                at = np.frombuffer(found, "<i4")
                 nodes.append(name)
                 counts.append(len(at))
                 keys.append(np.frombuffer(bands, np.int64)[at])
             if nodes:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(nodes).take(pa.array(np.repeat(np.arange(len(nodes)), counts)))], names=["bucket", "node"])
 
-    lists = shared.groupBy(F.col("__lw_a").alias("s"), F.col("__lw_b").alias("t")).agg(F.collect_list("positions").alias("found"))
-    return classes.join(lists, ["s", "t"]).select(node().alias("node"), "bands", "found").mapInArrow(run, "bucket long, node string")
+    lists = shared.select(F.col("__lw_a").alias("s"), F.col("__lw_b").alias("t"), "positions")
+    return classes.join(lists, ["s", "t"]).select(node().alias("node"), "bands", "positions").mapInArrow(run, "bucket long, node string")
 
 
 def estimated(pairs: DataFrame, bits: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 A place is a position in a document, a key one or two 64-bit hashes. Tasks pack places into arrays by bucket of
 key, so a shuffled place costs its key and about two bytes. Before the shuffle each run of RUN places is
 aggregated by key: places that share a key already are known to repeat and only one of them is sent to the
-key's bucket. A key that a third of all documents hold thus reaches its bucket once for each run, not once for
+key's bucket. What repeats goes home packed as well, to one row for each document. A key that a third of all documents hold thus reaches its bucket once for each run, not once for
 each document.
 """
 
@@ -109,16 +109,43 @@ class Run:
             at = end
 
 
-def emitted(a: np.ndarray, b: np.ndarray, counts: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
-    ends = np.cumsum(counts).tolist()
-    raw = pos.astype("<i4").tobytes()
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), binary([raw[4 * s : 4 * e] for s, e in zip([0, *ends[:-1]], ends, strict=True)])], names=["__lw_a", "__lw_b", "positions"])
+def homeward(ids: list[np.ndarray], counts: np.ndarray, pos: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Places of whole documents, packed by the bucket that gathers a document's places."""
+    a, b = ids
+    home = ((mix64(b.view(np.uint64)) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(home, kind="stable")
+    starts = np.cumsum(counts) - counts
+    rows = []
+    edges = np.flatnonzero(np.diff(home[order], prepend=-1)).tolist()
+    for x, y in zip(edges, [*edges[1:], len(order)][: len(edges)], strict=True):
+        docs = order[x:y]
+        n = counts[docs]
+        at = np.repeat(starts[docs] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        rows.append((int(home[docs[0]]), pack([a[docs], b[docs], n.astype(np.int32), pos[at].astype(np.int32)])))
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), binary([r[1] for r in rows])], names=["bucket", "packed"])
+
+
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document, with all its places."""
+    parts = [unpack(blob) for batch in batches for blob in batch.column(1).to_pylist()]
+    if not parts:
+        return
+    a, b, n, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+    parts.clear()
+    a, b = np.repeat(a, n), np.repeat(b, n)
+    order = np.lexsort((pos, b, a))
+    a, b, pos = a[order], b[order], pos[order]
+    first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+    raw, ends = pos.astype("<i4").tobytes(), [*first[1:].tolist(), len(a)]
+    for x in range(0, len(first), 4_096):
+        part = first[x : x + 4_096]
+        yield pa.RecordBatch.from_arrays([pa.array(a[part], pa.int64()), pa.array(b[part], pa.int64()), binary([raw[4 * s : 4 * e] for s, e in zip(part.tolist(), ends[x : x + 4_096], strict=True)])], names=["__lw_a", "__lw_b", "positions"])
 
 
 def repeated(rows: DataFrame, places: Callable[[pa.RecordBatch], Places], expected: float) -> DataFrame:
     """(__lw_a, __lw_b, positions): for documents (by two 64-bit ids), packed positions whose key occurs more than once among all places.
 
-    A document may come in several rows, with different positions. `expected` is about how many places there are; it sets the number of buckets.
+    A document comes once, with all its positions. `expected` is about how many places there are; it sets the number of buckets.
     """
     spark = rows.sparkSession
     buckets = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(expected // BUCKET_PLACES, 1 << 20), 1))
@@ -140,7 +167,8 @@ def repeated(rows: DataFrame, places: Callable[[pa.RecordBatch], Places], expect
             for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 got = unpack(blob)
                 if kind == KNOWN:
-                    yield emitted(*got)
+                    a, b, n, pos = got
+                    yield homeward([a, b], n.astype(np.int64), pos, buckets)
                 else:
                     a, b, n, *rest = got
                     asked.append([np.repeat(a, n), np.repeat(b, n), *rest])
@@ -158,7 +186,8 @@ def repeated(rows: DataFrame, places: Callable[[pa.RecordBatch], Places], expect
             found = found[np.lexsort((pos[found], b[found], a[found]))]
             a, b, pos = a[found], b[found], pos[found]
             first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-            yield emitted(a[first], b[first], np.diff(np.append(first, len(a))), pos)
+            yield homeward([a[first], b[first]], np.diff(np.append(first, len(a))), pos, buckets)
 
     sent = rows.mapInArrow(send, "bucket int, kind int, packed binary")
-    return sent.repartitionById(buckets, "bucket").mapInArrow(meet, "__lw_a long, __lw_b long, positions binary")
+    met = sent.repartitionById(buckets, "bucket").mapInArrow(meet, "bucket int, packed binary")
+    return met.repartitionById(buckets, "bucket").mapInArrow(gathered, "__lw_a long, __lw_b long, positions binary")

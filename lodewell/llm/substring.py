@@ -105,7 +105,7 @@ def candidates(window: int):
             for i, (start, end) in enumerate(zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist(), strict=True)):
                 n = end - start - window + 1
                 if n > 0:
-                    anchor = np.frombuffer(b"".join(found[first + i]), "<i4").astype(np.int64)
+                    anchor = np.frombuffer(found[first + i], "<i4").astype(np.int64)
                     change = np.zeros(end - start + 1, np.int64)
                     np.add.at(change, np.maximum(0, anchor - period + 1), 1)
                     np.add.at(change, anchor + 1, -1)
@@ -127,12 +127,11 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     shared = stored(repeated(rows, anchors(window), chars / 24))
     release(spark)
-    lists = shared.groupBy("__lw_a", "__lw_b").agg(F.collect_list("positions").alias("found"))
-    held = rows.join(lists, ["__lw_a", "__lw_b"]).select("__lw_a", "__lw_b", "text", "found")
+    held = rows.join(shared, ["__lw_a", "__lw_b"]).select("__lw_a", "__lw_b", "text", "positions")
     starts = stored(repeated(held, candidates(window), chars / 24))
     release(spark)
     drop(shared)
-    return starts.groupBy("__lw_a", "__lw_b").agg(F.collect_list("positions").alias("starts"))
+    return starts.withColumnRenamed("positions", "__lw_starts")
 
 
 def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -144,19 +143,19 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     keys = ["__lw_a", "__lw_b"]
     joined = keyed(docs).join(repeats(docs, window), keys, "left").drop(*keys)
-    text, found = joined.columns.index("text"), joined.columns.index("starts")
-    shape = StructType([*[f for f in joined.schema.fields if f.name != "starts"], StructField("__lw_words", LongType()), StructField("__lw_removed", LongType()), StructField("__lw_kept", StringType())])
+    text, found = joined.columns.index("text"), joined.columns.index("__lw_starts")
+    shape = StructType([*[f for f in joined.schema.fields if f.name != "__lw_starts"], StructField("__lw_words", LongType()), StructField("__lw_removed", LongType()), StructField("__lw_kept", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in chunks(batch.column(text).to_pylist()):
                 part = batch.slice(first, len(texts))
                 totals, removed, kept = [], [], []
-                for t, blobs in zip(texts, part.column(found).to_pylist(), strict=True):
+                for t, starts in zip(texts, part.column(found).to_pylist(), strict=True):
                     words = WORDS.findall(t)
                     totals.append(len(words))
-                    if blobs:
-                        at = np.frombuffer(b"".join(blobs), "<i4")
+                    if starts:
+                        at = np.frombuffer(starts, "<i4")
                         change = np.zeros(len(words) + 1, np.int64)
                         np.add.at(change, at, 1)
                         np.add.at(change, at + window, -1)
