@@ -67,10 +67,20 @@ class Sequence:
         before = np.where(octet > 0, sums[rows, octet - 1], 0)
         return word * 64 + octet * 8 + SELECT[octets[rows, octet], left - before]
 
-    def below(self, high: np.ndarray) -> np.ndarray:
-        """How many values have high bits below these."""
+    def bucket(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and end of the values with these high bits: the ones between two zeros of the unary part."""
         k = np.maximum(high - 1, 0)
-        return np.where(high > 0, self.select_zero(k) - k, 0)
+        zero = np.where(high > 0, self.select_zero(k), -1)
+        begin = np.where(high > 0, zero - k, 0)
+        at = zero + 1
+        word, off = at >> 6, (at & 63).astype(np.uint64)
+        ahead = self.unary[word] >> off | (self.unary[np.minimum(word + 1, len(self.unary) - 1)] << np.uint64(1)) << (np.uint64(63) - off)
+        gap = ~ahead & (ahead + np.uint64(1))  # the lowest zero, 0 if there is none in 64 bits
+        run = np.log2(np.maximum(gap, np.uint64(1)).astype(np.float64)).astype(np.int64)
+        end = begin + run
+        if (full := np.flatnonzero(gap == 0)).size:
+            end[full] = self.select_zero(high[full]) - high[full]
+        return begin, end
 
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of the first value >= x, whether it equals x)."""
@@ -80,7 +90,7 @@ class Sequence:
         live = np.flatnonzero(high <= self.top)
         if not len(live):
             return at, equal
-        low, a, b = x[live] & self.mask, self.below(high[live]), self.below(high[live] + 1)
+        low, (a, b) = x[live] & self.mask, self.bucket(high[live])
         at[live] = b
         while True:
             go = a < b

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodewell.llm.common import binary, chunks, crc_mod, mix64, open_fs, release, shared_dir, table
-from lodewell.llm.eliasfano import Sequence, encode, read_arrays, write_arrays
+from lodewell.llm.eliasfano import Sequence, encode, read_arrays, to_words, write_arrays
 from lodewell.llm.repeats import pack, unpack
 from lodewell.llm.substring import WordHashes
 
@@ -35,12 +35,12 @@ DISCOUNT = 0.75
 LEAST = {2: 1, 3: 2}
 #: The end of a text is a token; this is its place among the hashes.
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
-RUN_TOKENS, SHARD_TOKENS = 1 << 20, 1 << 20
+RUN_TOKENS, SHARD_TOKENS, SCORE_CHARS = 1 << 20, 1 << 21, 1 << 21
 
 
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, each text's words and then its end; the tokens of each text."""
-    words = WordHashes(texts, lower=True)
+    words = WordHashes(texts, lower=True, hashes=1, windows=False)
     n = np.diff(words.bounds) + 1
     ends = np.cumsum(n) - 1
     out = np.empty(int(n.sum()), np.uint64)
@@ -199,8 +199,8 @@ def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code.astype(np.uint8), book.astype(np.float64)
 
 
-def level(contexts: np.ndarray, words: np.ndarray, counts: np.ndarray, least: int, size: int) -> dict[str, np.ndarray]:
-    """A shard's level, of n-grams sorted by context and word."""
+def level(contexts: np.ndarray, words: np.ndarray, counts: np.ndarray, least: int, further: int, size: int) -> dict[str, np.ndarray]:
+    """A shard's level, of n-grams sorted by context and word; one bit tells if an n-gram was seen `further` times, as it must have been to be a context of the next level."""
     first = np.flatnonzero(np.diff(contexts, prepend=-1))
     total = np.add.reduceat(counts, first)
     owner = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(contexts))))
@@ -214,7 +214,7 @@ def level(contexts: np.ndarray, words: np.ndarray, counts: np.ndarray, least: in
     back, back_book = quantised(np.maximum(1 - held[has], 1e-12))
     parts = {"contexts": encode(contexts[first][has]), "pointers": encode(np.concatenate([[0], np.cumsum(seen[has])])), "words": encode(index[owner[keep]].astype(np.uint64) * np.uint64(size) + words[keep].astype(np.uint64))}
     flat = {f"{k}.{name}": x for k, v in parts.items() for name, x in v.items()}
-    return flat | {"codes": codes, "book": book, "back": back, "back_book": back_book}
+    return flat | {"codes": codes, "book": book, "back": back, "back_book": back_book, "more": to_words((counts[keep] >= further).astype(np.uint8))}
 
 
 class Level:
@@ -222,16 +222,16 @@ class Level:
         part = lambda k: Sequence({n: arrays[f"{k}.{n}"] for n in ("meta", "low", "unary", "zeros")})
         self.contexts, self.pointers, self.words = part("contexts"), part("pointers"), part("words")
         self.a, self.b = (10.0 ** arrays[book] for book in ("book", "back_book"))
-        self.codes, self.back, self.size = arrays["codes"], arrays["back"], size
+        self.codes, self.back, self.more, self.size = arrays["codes"], arrays["back"], arrays["more"], size
 
-    def weights(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(a, b) for each context and word; an unknown context has (0, 1), an unseen word a = 0."""
-        a, b = np.zeros(len(context)), np.ones(len(context))
+    def weights(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(a, b, more) for each context and word: an unknown context has (0, 1), an unseen word a = 0; more: both together may be a context of the next level."""
+        a, b, more = np.zeros(len(context)), np.ones(len(context)), np.zeros(len(context), bool)
         distinct, back = np.unique(context, return_inverse=True)
         at, hit = self.contexts.successor(distinct)
         known = np.flatnonzero(hit[back])
         if not len(known):
-            return a, b
+            return a, b, more
         node = at[back[known]]
         b[known] = self.b[self.back[node]]
         ask = np.flatnonzero(word[known] >= 0)
@@ -239,8 +239,10 @@ class Level:
         keys, back = np.unique(key, return_inverse=True)
         place, found = self.words.successor(keys)
         found = found[back]
-        a[known[ask[found]]] = self.a[self.codes[place[back[found]]]]
-        return a, b
+        hit, place = known[ask[found]], place[back[found]]
+        a[hit] = self.a[self.codes[place]]
+        more[hit] = self.more[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1) > 0
+        return a, b, more
 
     def successors(self, context: int) -> list[tuple[int, float]]:
         """(id, a) of a context's successors, by its pointers."""
@@ -276,15 +278,18 @@ class Model:
         hashes, lengths = tokens(texts)
         ids, counts = v.find(hashes)
         base = (counts + 0.5) / (v.tokens + 0.5 * (v.size + 1))
-        p = base.copy()
+        p, more = base.copy(), np.ones(len(ids), bool)
         for order in ORDERS:
             at, context, word = grams(ids, lengths, order, v.size)
+            open_ = more[at - 1]
+            at, context, word = at[open_], context[open_], word[open_]
+            more = np.zeros(len(ids), bool)
             shard = shard_of(context, self.shards)
             by = np.argsort(shard, kind="stable")
             for i, a, b in stretches(shard[by]):
                 if (here := self.level(order, i)) is not None:
                     rows = by[a:b]
-                    seen, back = here.weights(context[rows], word[rows])
+                    seen, back, more[at[rows]] = here.weights(context[rows], word[rows])
                     p[at[rows]] = seen + back * p[at[rows]]
         first = np.cumsum(lengths) - lengths
         add = lambda x: np.add.reduceat(x, first)
@@ -337,7 +342,7 @@ def train(docs: DataFrame) -> Model:
             parts.clear()
             (context, word), n = summed([context, word], n)
             if (n >= LEAST[order]).any():
-                put(out, f"level-{order}-{i:06d}", level(context, word, n, LEAST[order], size))
+                put(out, f"level-{order}-{i:06d}", level(context, word, n, LEAST[order], LEAST.get(order + 1, 1), size))
                 yield pa.RecordBatch.from_pylist([{"ngram": order, "shard": i}])
 
     made = texts.mapInArrow(count, SENT).repartitionById(shards, "shard").mapInArrow(build, "ngram long, shard long").collect()
@@ -350,7 +355,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in chunks(batch.column(1).to_pylist()):
+            for first, texts in chunks(batch.column(1).to_pylist(), SCORE_CHARS):
                 part = batch.slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array(x) for x in model.score(texts))], names=["doc_id", "held", "n_tokens", "n_known", "base_score", "score"])
 

@@ -48,7 +48,7 @@ def powers(base: int, n: int) -> np.ndarray:
 class WordHashes:
     """Two hashes of every word of some texts (runs of anything but ASCII white space), and of any window of them."""
 
-    def __init__(self, texts: list[str], lower: bool = False):
+    def __init__(self, texts: list[str], lower: bool = False, hashes: int = 2, windows: bool = True):
         cp = np.frombuffer("".join(f"{t}\n" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         if lower:
             cp = np.where((cp >= 65) & (cp <= 90), cp + 32, cp)
@@ -64,10 +64,12 @@ class WordHashes:
         spot = np.arange(len(cp), dtype=np.int64)
         spot -= np.repeat(starts, np.diff(np.append(starts, len(cp)))) if starts[0] == 0 else np.concatenate([spot[: starts[0]], np.repeat(starts, np.diff(np.append(starts, len(cp))))])
         longest = int(np.max(spot[inside], initial=0)) + 1
-        for base in BASES:
+        for base in BASES[:hashes]:
             letters = np.where(inside, mix64(cp.astype(np.uint64) + np.uint64(base)) * powers(base, longest)[np.minimum(spot, longest - 1)], np.uint64(0))
             words = mix64(np.add.reduceat(letters, starts))
             self.words.append(words)
+            if not windows:
+                continue
             self.sums.append(np.concatenate([[np.uint64(0)], np.cumsum(words * powers(base, len(words)), dtype=np.uint64)]))
             self.back.append(powers(pow(base, -1, 1 << 64), len(words)))
 
