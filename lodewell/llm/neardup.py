@@ -6,10 +6,10 @@ order, so that bins of similar sets stay equal with the sets' Jaccard similarity
 similarity of 0.8 a pair misses all BANDS with probability (1 - 0.8^8)^64 < 1e-5, far below that above it.
 
 Classes that share a band form a bucket. Its smallest class is the centre of a star; only edges to centres are
-candidates, so a bucket of n has n - 1 of them. Edges are confirmed on full shingle sets. Members that the
-centre does not confirm form the bucket's next star, until none are left; and a member that lies just beyond the
-threshold from a centre is compared with those of the centre's confirmed members that the triangle inequality of
-the Jaccard distance leaves in reach, unless they are connected already. So stars lose no link of a bucket.
+candidates, so a bucket of n has n - 1 of them. Edges are confirmed on full shingle sets. Members that are not
+connected to the centre then form the bucket's next star (or, at most SMALL of them, are compared with one
+another), until none are left; and such a member is compared with those connected members of the star that the
+triangle inequality of the Jaccard distance leaves in reach. So stars lose no link of a bucket.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ BANDS = BINS // ROWS
 SIMILAR = 80
 #: Pairs whose bins agree less than this are not confirmed on full sets: 0.15 below the threshold is over eight deviations of the estimate.
 LEAST_ESTIMATE = 0.65
+#: From the second round on, what is left of a bucket is compared pair by pair if it is so small.
+SMALL = 48
 
 
 def shingle_sets(texts: list[str], size: int) -> Iterator[np.ndarray]:
@@ -137,7 +139,7 @@ def bucket_rows(shared: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def estimated(pairs: DataFrame, bits: DataFrame) -> DataFrame:
-    """(u, v, estimate) of pairs that sizes allow, by the share of equal bins."""
+    """(u, v, estimate) of pairs, by the share of equal bins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,10 +147,8 @@ def estimated(pairs: DataFrame, bits: DataFrame) -> DataFrame:
             same = (x == y).mean(1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((same - 1 / 256) / (1 - 1 / 256))], names=["u", "v", "estimate"])
 
-    left, right = (bits.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}")) for x in "uv")
-    joined = pairs.join(left, "u").join(right, "v")
-    possible = (100 * F.least("nu", "nv") >= SIMILAR * F.greatest("nu", "nv"))
-    return joined.where(possible).select("u", "v", "bitsu", "bitsv").mapInArrow(run, "u string, v string, estimate double")
+    left, right = (bits.select(F.col("node").alias(x), F.col("bits").alias(f"bits{x}")) for x in "uv")
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "bitsu", "bitsv").mapInArrow(run, "u string, v string, estimate double")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
@@ -194,44 +194,45 @@ def links(docs: DataFrame, classes: DataFrame, size: int, similar: int) -> DataF
         return None
     sets = stored(full_sets(docs, bits, size))
     release(spark)
-    active, tried, found = rows, [], []
+    active, every, rounds = rows, None, []
     while True:
-        stars = active.groupBy("bucket").agg(F.min("node").alias("v"), F.count("*").alias("size")).where("size > 1")
-        members = stored(active.join(stars, "bucket").where("node <> v").select("bucket", F.col("node").alias("u"), "v"))
-        pairs = members.select("u", "v").distinct()
-        for t in tried:
-            pairs = pairs.join(t.select("u", "v"), ["u", "v"], "left_anti")
-        guess = stored(estimated(pairs, bits))
+        sizes = active.groupBy("bucket").agg(F.min("node").alias("v"), F.count("*").alias("size")).where("size > 1")
+        held = stored(active.join(sizes, "bucket"))
+        star = held.where(F.col("size") > SMALL) if rounds else held
+        members = star.where("node <> v").select("bucket", F.col("node").alias("u"), "v")
+        pairs = members.select("u", "v")
+        if rounds:
+            small = held.where(F.col("size") <= SMALL)
+            pairs = pairs.union(small.select("bucket", F.col("node").alias("u")).join(small.select("bucket", F.col("node").alias("v")), "bucket").where("u < v").select("u", "v"))
+        guess = stored(estimated(pairs.distinct(), bits))
         link = stored(confirmed(guess.where(F.col("estimate") >= LEAST_ESTIMATE).select("u", "v"), sets, similar))
-        tried.append(guess)
-        found.append((members, link))
-        every = found[0][1]
-        for _, x in found[1:]:
-            every = every.union(x)
-        rest = members.join(every.withColumn("ok", F.lit(True)), ["u", "v"], "left").where("ok IS NULL")
+        every = link if every is None else stored(every.union(link))
+        rounds.append((members, guess))
+        label = stored(components(every))
+        rest = labelled(members, label).where("mine <> centre")
         active = stored(rest.select("bucket", F.col("u").alias("node")))
-        if not active.limit(1).count():
+        if not active.groupBy("bucket").count().where("count > 1").limit(1).count():
             break
-    guesses = tried[0]
-    for t in tried[1:]:
-        guesses = guesses.union(t)
-    every = stored(every)
-    beyond = reach(found, guesses, every, similar)
+    beyond = reach(rounds, label, similar)
     more = stored(confirmed(estimated(beyond, bits).where(F.col("estimate") >= LEAST_ESTIMATE).select("u", "v"), sets, similar))
     return every.union(more)
 
 
-def reach(found: list[tuple[DataFrame, DataFrame]], guesses: DataFrame, every: DataFrame, similar: int) -> DataFrame:
-    """Pairs of a member that its centre did not confirm and a confirmed member of the same star, not yet connected, that the triangle inequality leaves in reach."""
-    slack, limit = 0.1, 1 - similar / 100
-    label = stored(components(every))
+def labelled(members: DataFrame, label: DataFrame) -> DataFrame:
+    """members of stars with the components so far of each (`mine`) and of its centre (`centre`)."""
+    of = lambda x, name: label.select(F.col("node").alias(x), F.col("label").alias(name))
+    return members.join(of("u", "mine"), "u", "left").join(of("v", "centre"), "v", "left").withColumns({"mine": F.coalesce("mine", "u"), "centre": F.coalesce("centre", "v")})
+
+
+def reach(rounds: list[tuple[DataFrame, DataFrame]], label: DataFrame, similar: int) -> DataFrame:
+    """Pairs of a star's member that is not connected to the centre and one that is, if the triangle inequality leaves them in reach by their distances to the centre."""
+    slack, limit = 0.08, 1 - similar / 100
     out = None
-    for members, _ in found:
-        state = members.join(every.withColumn("ok", F.lit(True)), ["u", "v"], "left").join(guesses, ["u", "v"], "left")
-        state = state.join(label.select(F.col("node").alias("u"), F.col("label").alias("mine")), "u", "left").withColumn("mine", F.coalesce("mine", "u"))
-        outside = state.where((F.col("ok").isNull()) & (F.col("estimate") >= 1 - 2 * limit - slack)).select("bucket", "u", "mine", "estimate")
-        inside = state.where("ok").select("bucket", F.col("u").alias("v"), F.col("mine").alias("theirs"), F.col("estimate").alias("near"))
-        pairs = outside.join(inside, "bucket").where((F.col("mine") != F.col("theirs")) & (F.col("near") - F.col("estimate") <= limit + slack)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    for members, guess in rounds:
+        state = stored(labelled(members, label).join(guess, ["u", "v"]))
+        outside = state.where("mine <> centre").select("bucket", "u", "estimate")
+        inside = state.where("mine = centre").select("bucket", F.col("u").alias("v"), F.col("estimate").alias("near"))
+        pairs = outside.join(inside, "bucket").where(F.abs(F.col("near") - F.col("estimate")) <= limit + slack).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
         out = pairs if out is None else out.union(pairs)
     return out.distinct()
 
