@@ -9,7 +9,7 @@ memory-mapped by the scoring tasks, which look up whole batches of positions by
 
     P(w | context) = a(w | context) + b(context) * P(w | shorter context),  a = (count - D) / count(context)
 
-for successors that were seen LEAST[order] times, b = 1 - the sum of a over them, and the empty context has
+for every successor that was seen, b = 1 - the sum of a over them, and the empty context has
 (c + 1/2) / (N + (V + 1) / 2), which leaves an unknown word its share: probabilities add up to 1 but for the quantising.
 """
 
@@ -25,14 +25,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodewell.llm.common import binary, chunks, crc_mod, mix64, open_fs, release, shared_dir, table
-from lodewell.llm.eliasfano import Sequence, encode, read_arrays, to_words, write_arrays
+from lodewell.llm.eliasfano import Sequence, encode, read_arrays, write_arrays
 from lodewell.llm.repeats import pack, unpack
 from lodewell.llm.substring import WordHashes
 
 ORDERS = (2, 3)
 DISCOUNT = 0.75
-#: Least count of a successor, by order: triples seen once leave their probability to the back-off weight.
-LEAST = {2: 1, 3: 2}
 #: The end of a text is a token; this is its place among the hashes.
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 RUN_TOKENS, SHARD_TOKENS, SCORE_CHARS = 1 << 20, 1 << 21, 1 << 21
@@ -199,22 +197,18 @@ def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code.astype(np.uint8), book.astype(np.float64)
 
 
-def level(contexts: np.ndarray, words: np.ndarray, counts: np.ndarray, least: int, further: int, size: int) -> dict[str, np.ndarray]:
-    """A shard's level, of n-grams sorted by context and word; one bit tells if an n-gram was seen `further` times, as it must have been to be a context of the next level."""
+def level(contexts: np.ndarray, words: np.ndarray, counts: np.ndarray, size: int) -> dict[str, np.ndarray]:
+    """A shard's level, of n-grams sorted by context and word; all of them are kept."""
     first = np.flatnonzero(np.diff(contexts, prepend=-1))
     total = np.add.reduceat(counts, first)
-    owner = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(contexts))))
-    keep = counts >= least
+    seen = np.diff(np.append(first, len(contexts)))
+    owner = np.repeat(np.arange(len(first)), seen)
     a = (counts - DISCOUNT) / total[owner]
-    held = np.bincount(owner[keep], a[keep], len(first))
-    seen = np.bincount(owner[keep], minlength=len(first))
-    has = seen > 0
-    index = np.cumsum(has) - 1
-    codes, book = quantised(a[keep])
-    back, back_book = quantised(np.maximum(1 - held[has], 1e-12))
-    parts = {"contexts": encode(contexts[first][has]), "pointers": encode(np.concatenate([[0], np.cumsum(seen[has])])), "words": encode(index[owner[keep]].astype(np.uint64) * np.uint64(size) + words[keep].astype(np.uint64))}
+    codes, book = quantised(a)
+    back, back_book = quantised(np.maximum(1 - np.bincount(owner, a, len(first)), 1e-12))
+    parts = {"contexts": encode(contexts[first]), "pointers": encode(np.concatenate([[0], np.cumsum(seen)])), "words": encode(owner.astype(np.uint64) * np.uint64(size) + words.astype(np.uint64))}
     flat = {f"{k}.{name}": x for k, v in parts.items() for name, x in v.items()}
-    return flat | {"codes": codes, "book": book, "back": back, "back_book": back_book, "more": to_words((counts[keep] >= further).astype(np.uint8))}
+    return flat | {"codes": codes, "book": book, "back": back, "back_book": back_book}
 
 
 class Level:
@@ -222,10 +216,10 @@ class Level:
         part = lambda k: Sequence({n: arrays[f"{k}.{n}"] for n in ("meta", "low", "unary", "zeros")})
         self.contexts, self.pointers, self.words = part("contexts"), part("pointers"), part("words")
         self.a, self.b = (10.0 ** arrays[book] for book in ("book", "back_book"))
-        self.codes, self.back, self.more, self.size = arrays["codes"], arrays["back"], arrays["more"], size
+        self.codes, self.back, self.size = arrays["codes"], arrays["back"], size
 
     def weights(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(a, b, more) for each context and word: an unknown context has (0, 1), an unseen word a = 0; more: both together may be a context of the next level."""
+        """(a, b, more) for each context and word: an unknown context has (0, 1), an unseen word a = 0; more: both together were seen, so they may be a context of the next level."""
         a, b, more = np.zeros(len(context)), np.ones(len(context)), np.zeros(len(context), bool)
         distinct, back = np.unique(context, return_inverse=True)
         at, hit = self.contexts.successor(distinct)
@@ -241,7 +235,7 @@ class Level:
         found = found[back]
         hit, place = known[ask[found]], place[back[found]]
         a[hit] = self.a[self.codes[place]]
-        more[hit] = self.more[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1) > 0
+        more[hit] = True
         return a, b, more
 
     def successors(self, context: int) -> list[tuple[int, float]]:
@@ -341,8 +335,8 @@ def train(docs: DataFrame) -> Model:
             context, word, n = (np.concatenate(x) for x in zip(*parts, strict=True))
             parts.clear()
             (context, word), n = summed([context, word], n)
-            if (n >= LEAST[order]).any():
-                put(out, f"level-{order}-{i:06d}", level(context, word, n, LEAST[order], LEAST.get(order + 1, 1), size))
+            if len(n):
+                put(out, f"level-{order}-{i:06d}", level(context, word, n, size))
                 yield pa.RecordBatch.from_pylist([{"ngram": order, "shard": i}])
 
     made = texts.mapInArrow(count, SENT).repartitionById(shards, "shard").mapInArrow(build, "ngram long, shard long").collect()

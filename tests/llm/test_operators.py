@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
-from brute import near, removed, sha, words
+from brute import lm, near, removed, sha, words
 from conftest import MESSY
 from pyspark.sql import functions as F
 
@@ -255,6 +255,17 @@ def test_lm_probabilities_add_up(spark):
     assert weights.sum() + back[0] == pytest.approx(1, abs=1e-9)
 
 
+def test_lm_keeps_triples_seen_once(spark):
+    """Against brute force without a least count; the last word of the passage follows several pairs, so only its triple tells."""
+    train = ["one x y p", "two x z q", "three w y r", "four w z s", "a b c d e f g", "b c x", "b c x", "c d x"]
+    texts = ["one x y p", "a b c d e f g", "four w z s", "nothing known here", ""]
+    model = ngram_lm.train(spark.createDataFrame([(t,) for t in train], "text string"))
+    want, n = lm(train, texts, least=1)
+    tokens, known, base, score = (x.tolist() for x in model.score(texts))
+    assert model.vocabulary.tokens == n and list(zip(tokens, known, strict=True)) == [w[:2] for w in want]
+    assert base == pytest.approx([w[2] for w in want], rel=1e-9) and score == pytest.approx([w[3] for w in want], abs=0.01)
+
+
 @pytest.mark.parametrize("values", [[], [0], [5], [0, 0, 0, 3], [1, 2, 3, 1000, 10**12], list(range(1000)), [63, 64, 127, 128, 1 << 62], [9] * 200 + [12] * 70 + [1 << 40]])
 def test_elias_fano(values):
     s = eliasfano.Sequence(eliasfano.encode(np.array(values, np.uint64)))
