@@ -65,7 +65,9 @@ class Sketcher:
         full, value = at[first], h[first]
         out = np.zeros(BINS, np.uint64)
         if len(full) <= 48:
-            return value[self.place[:, full].argmin(1)]
+            out = value[self.place[:, full].argmin(1)]
+            out[full] = value  # filled bins keep their own, as below
+            return out
         out[full] = value
         filled = np.zeros(BINS, bool)
         filled[full] = True

@@ -318,6 +318,24 @@ def test_bins_estimate_similarity():
         assert (s.bins(np.sort(x)) == s.bins(np.sort(y))).mean() == pytest.approx(true, abs=0.1)
 
 
+def test_bins_agree_across_short_and_long_sets():
+    """Sets of 40 to 60 shingles, on both sides of the switch to the short path; filled bins keep their own value on either."""
+    s, rng = neardup.Sketcher(), np.random.default_rng(9)
+    estimates, missed, sides = [], 0, set()
+    for small, large in [(40, 50), (44, 55), (46, 53), (48, 60)] * 40:
+        y = rng.integers(0, 1 << 63, large, dtype=np.uint64)
+        x = y[:small]
+        a, b = s.bins(x), s.bins(y)
+        for shingles, bins in ((x, a), (y, b)):
+            h = np.sort(neardup.mix64(shingles ^ np.uint64(0x5851F42D4C957F2D)))
+            at, first = np.unique((h >> np.uint64(55)).astype(np.int64), return_index=True)
+            sides.add(len(at) <= 48)
+            assert (bins[at] == h[first]).all()
+        estimates.append((a == b).mean() - small / large)
+        missed += not (a == b).reshape(neardup.BANDS, neardup.ROWS).all(1).any()
+    assert sides == {True, False} and abs(np.mean(estimates)) < 0.02 and not missed
+
+
 def test_components(spark):
     edges = [("a", "b"), ("b", "c"), ("d", "e"), *[(f"n{i:02d}", f"n{i + 1:02d}") for i in range(40)]]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "u string, v string")).collect()}
