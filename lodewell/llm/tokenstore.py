@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -47,11 +48,42 @@ def model(path: str):
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in set(shown)]
     alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-    return models.BPE(vocab=spec["vocab"], merges=merges, cache_capacity=0), alphabet, "<u2" if max(spec["vocab"].values()) < 1 << 16 else "<u4"
+    return models.BPE(vocab=spec["vocab"], merges=merges, cache_capacity=0), alphabet, "<u2" if max([*spec["vocab"].values(), *added(path)[1].values()]) < 1 << 16 else "<u4"
 
 
-def encoder(path: str) -> SliceEncoder:
-    """Slices by the pre-tokeniser, their ids from the tokenizers library; strings of special tokens are ordinary text."""
+@lru_cache(2)
+def added(path: str) -> tuple[re.Pattern | None, dict[str, int]]:
+    """A pattern of the tokenizer file's added tokens, which the library cuts out of a text before anything else, and their ids."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    tokens = [t for t in spec.get("added_tokens") or [] if t["content"]]
+    if spec.get("normalizer") or any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in tokens):
+        raise ValueError(f"{path}: normalizers and added tokens that look at their neighbours are not supported")
+    longest = sorted((t["content"] for t in tokens), key=len, reverse=True)
+    return re.compile("(" + "|".join(map(re.escape, longest)) + ")") if tokens else None, {t["content"]: t["id"] for t in tokens}
+
+
+class TokenEncoder(SliceEncoder):
+    """Whole texts as the tokenizers library encodes them: the texts between added tokens by slices, added tokens as their own ids."""
+
+    def __init__(self, ids_of, dtype: str, path: str):
+        super().__init__(ids_of, dtype)
+        self.pattern, ids = added(path)
+        self.own = {t: np.array([i], dtype).tobytes() for t, i in ids.items()}
+
+    def whole(self, texts: list[str]) -> Iterator[bytes]:
+        """Id bytes of each text."""
+        if self.pattern is None or not any(t in x for x in texts for t in self.own):
+            yield from (ids for ids, _, _ in self.all(texts))
+            return
+        parts = [self.pattern.split(x) for x in texts]  # an added token at each odd place
+        between = (ids for ids, _, _ in self.all([p for x in parts for p in x[::2]]))
+        for x in parts:
+            yield b"".join(self.own[p] if i % 2 else next(between) for i, p in enumerate(x))
+
+
+def encoder(path: str) -> TokenEncoder:
+    """Slices by the pre-tokeniser, their ids from the tokenizers library."""
     bpe, alphabet, dtype = model(path)
     tokenize, space = bpe.tokenize, alphabet[32]
 
@@ -62,7 +94,7 @@ def encoder(path: str) -> SliceEncoder:
             shown = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(alphabet)
         return [t.id for t in tokenize(shown)]
 
-    return SliceEncoder(ids_of, dtype)
+    return TokenEncoder(ids_of, dtype, path)
 
 
 def train_dictionary(samples: list[bytes]) -> bytes:
@@ -99,7 +131,7 @@ def write_store(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 0)
 
     unit = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     sample = docs.where((F.col("text") != "") & (unit < min(1.0, SAMPLE_DOCS / max(1, n)))).select(F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    trained = [ids for ids, _, _ in encoder(tokenizer_path).all(sorted(r.text for r in sample.collect()))]
+    trained = list(encoder(tokenizer_path).whole(sorted(r.text for r in sample.collect())))
     dictionary = train_dictionary(trained)
     digest = hashlib.sha256(dictionary).digest()
 
@@ -110,7 +142,7 @@ def write_store(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 0)
             doc_ids = batch.column(0)
             for first, texts in chunks(batch.column(1).to_pylist()):
                 here = doc_ids.slice(first, len(texts))
-                raw = [ids + end for ids, _, _ in encode.all(texts)]
+                raw = [ids + end for ids in encode.whole(texts)]
                 shard = np.searchsorted(bounds, here.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), "right")
                 yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), here, pa.array([len(x) // width for x in raw], pa.int64()), binary([pack.compress(x) for x in raw])], names=["shard", "doc_id", "n_tokens", "frame"])
 

@@ -154,6 +154,21 @@ def test_store_of_messy_rows(spark, messy, empty):
     assert tokenstore.read_store(spark, none, tokenstore.write_store(empty, none, path)).count() == 0
 
 
+def test_store_has_the_ids_of_added_tokens(spark):
+    """Against the library's own encoding of texts that hold the added token, whole, in part, repeated and beside white space."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tk = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "x<|endoftext|", "it'<|endoftext|>s  <|endoftext|>  y", "  <|endoftext|>\n\n", "plain", "é<|endoftext|>😀 <|ENDOFTEXT|>", "<<|endoftext|>>", ""]
+    out = shared_dir(spark)
+    manifest = tokenstore.write_store(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), out, path, 0)
+    got = sorted(tokenstore.read_store(spark, out, manifest, with_ids=True).collect(), key=lambda r: r.doc_id)
+    want = [[*tk.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert 50256 in want[0] and [np.frombuffer(r.ids, "<u4").tolist() for r in got] == want
+    assert [r.start for r in got] == np.cumsum([0, *map(len, want[:-1])]).tolist()
+
+
 # Classifiers
 
 
