@@ -12,7 +12,7 @@ product with the difference of the two classes' weights.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -134,14 +134,34 @@ def fit(labelled: DataFrame) -> Model:
     counts = {int(r[0]): r[1] for r in rows.groupBy("toxic").count().collect()}
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, POSITIVES / max(1, counts.get(1, 0))))).otherwise(F.lit(min(1.0, NEGATIVES / max(1, counts.get(0, 0)))))
     unit = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    picked = rows.where(unit < share).select(unit.alias("u"), "text", F.col("toxic").cast("int").alias("toxic"), F.length("text").alias("n")).orderBy("u", "text")
-    texts, toxic, room = [], [], SAMPLE_CHARS
-    for r in picked.toLocalIterator():
-        if (room := room - r.n) < 0:
+    picked = rows.where(unit < share).select(unit.alias("u"), "text", F.col("toxic").cast("int").alias("toxic"), F.length("text").alias("n")).withColumn("text", F.substring("text", 1, SAMPLE_CHARS))
+    taken = bounded((r.u, r.text, r.toxic) for r in picked.orderBy("n", "u", "text").toLocalIterator())
+    return train([t for _, t, _ in taken], np.array([y for _, _, y in taken], np.int64))
+
+
+def bounded(rows: Iterable[tuple[float, str, int]]) -> list[tuple[float, str, int]]:
+    """Rows (unit, text, label), shortest first, in the order of their units and within SAMPLE_CHARS.
+
+    Where they do not fit, each label has half the room and what the other leaves, and gives up its longest texts
+    one by one; its shortest stays, cut to the room. So no text ends the sample, and no label takes the other's place.
+    """
+    held, size, full = {0: [], 1: []}, {0: 0, 1: 0}, {0: False, 1: False}
+    for r in rows:
+        _, text, label = r
+        full[label] |= bool(held[label]) and size[label] + len(text) > SAMPLE_CHARS
+        if all(full.values()):
             break
-        texts.append(r.text)
-        toxic.append(r.toxic)
-    return train(texts, np.array(toxic, np.int64))
+        if not full[label]:
+            held[label].append(r)
+            size[label] += len(text)
+    rooms = {label: max(SAMPLE_CHARS // 2, SAMPLE_CHARS - size[1 - label]) for label in held}
+    for label, room in rooms.items():
+        while len(held[label]) > 1 and size[label] > room:
+            size[label] -= len(held[label].pop()[1])
+        if size[label] > room:
+            u, text, _ = held[label][0]
+            held[label] = [(u, text[:room], label)]
+    return sorted(held[0] + held[1], key=lambda r: r[:2])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

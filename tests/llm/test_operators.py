@@ -192,6 +192,20 @@ def test_toxicity_shares_character_ngrams(spark, messy, empty):
     assert (nothing.logits(["x", ""]) < 0).all()
 
 
+def test_long_texts_do_not_end_the_toxicity_sample(spark, monkeypatch):
+    """Long texts of either label, together over the room, wherever the hash order has them."""
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 6_000)
+    rows = [(i, f"lona miko tavel {'grobble' if i % 3 == 0 else 'sumo'}", int(i % 3 == 0)) for i in range(60)]
+    for longer in (0, 1):
+        many = rows + [(100 + i, "rako " * 1_300, longer) for i in range(40)] + [(200 + i, "rako " * 700, longer) for i in range(40)]
+        model = toxicity.fit(spark.createDataFrame(many, "doc_id long, text string, toxic int").repartition(2))
+        high, low = model.logits(["miko grobble lona", "miko sumo lona"]).tolist()
+        assert high > 0 > low
+    units = sorted(((i, "x" * n, y) for i, (n, y) in enumerate([(9_000, 1), (10, 0), (20, 1), (5_000, 0), (2_000, 1), (30, 0)])), key=lambda r: len(r[1]))
+    assert [(u, len(t)) for u, t, _ in toxicity.bounded(units)] == [(1, 10), (2, 20), (4, 2_000), (5, 30)]
+    assert [(len(t), y) for _, t, y in toxicity.bounded([(0.1, "a" * 6_000, 0), (0.2, "b" * 6_000, 1)])] == [(3_000, 0), (3_000, 1)]
+
+
 def test_language_of_messy_rows(messy, empty, documents):
     model = langid.fit(documents)
     assert {f for f, _ in model.families} == {"germanic", "romance"} and len(model.pairs["germanic"]) == 1
