@@ -76,7 +76,7 @@ def crc_mod(column: str, modulus: int) -> Column:
 
 
 def chunks(texts: Iterable, limit: int = BATCH_CHARS) -> Iterator[tuple[int, list]]:
-    """(index of the first, texts) in runs of about `limit` code points; None becomes the empty text."""
+    """(index of the first, texts) in runs of about `limit` code points (of texts as bytes: bytes); None becomes the empty text."""
     first, run, size = 0, [], 0
     for i, t in enumerate(texts):
         run.append(t := t or "")

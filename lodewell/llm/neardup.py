@@ -6,10 +6,11 @@ order, so that bins of similar sets stay equal with the sets' Jaccard similarity
 similarity of 0.8 a pair misses all BANDS with probability (1 - 0.8^8)^64 < 1e-5, far below that above it.
 
 Classes that share a band form a bucket. Its smallest class is the centre of a star; only edges to centres are
-candidates, so a bucket of n has n - 1 of them. Edges are confirmed on full shingle sets. Members that are not
-connected to the centre then form the bucket's next star (or, at most SMALL of them, are compared with one
-another), until none are left; and such a member is compared with those connected members of the star that the
-triangle inequality of the Jaccard distance leaves in reach. So stars lose no link of a bucket.
+candidates, so a bucket of n has n - 1 of them, and the stars' components (clusters) hold every pair that shares a
+band. A task takes the full shingle sets of a cluster, counts all intersections exactly and returns a spanning
+forest of the links. A cluster of many members or shingles is cut: into all pairs of its chunks or into its
+buckets (and those into pairs of chunks), whichever ships fewer sets; either way every two classes that share a
+band meet in some task, no set is compared by estimate, and no pair is lost.
 """
 
 from __future__ import annotations
@@ -18,30 +19,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodewell.llm.common import binary, chunks, drop, mix64, release, stored, table
 from lodewell.llm.components import components
 from lodewell.llm.repeats import Places, repeated
-from lodewell.llm.substring import WordHashes, keyed
+from lodewell.llm.substring import keyed
+from lodewell.llm.words import WordHashes
 
 BINS, ROWS = 512, 8
 BANDS = BINS // ROWS
 SIMILAR = 80
-#: Pairs whose bins agree less than this are not confirmed on full sets: 0.15 below the threshold is over eight deviations of the estimate.
-LEAST_ESTIMATE = 0.65
-#: From the second round on, what is left of a bucket is compared pair by pair if it is so small.
-SMALL = 48
+#: Members and shingles that one task compares at once, about; larger groups are cut.
+GROUP_MEMBERS, GROUP_SHINGLES = 2_048, 1 << 21
+#: A shingle of at most so many members is counted pair by pair, others by a product of matrices, so many at a time.
+RARE, COLUMNS = 16, 2_048
 
 
-def shingle_sets(texts: list[str], size: int) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[str] | list[bytes], size: int) -> Iterator[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's word shingles, A-Z lower-cased; of fewer words, one of the whole sequence."""
-    words = WordHashes(texts, lower=True)
+    words = WordHashes(texts, lower=True, hashes=1)
     for start, end in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist(), strict=True):
         n = end - start
         if n >= size:
-            yield np.unique(words.windows(np.arange(start, end - size + 1), size, 1)[:, 0])
+            h = np.sort(words.windows(np.arange(start, end - size + 1), size, 1)[:, 0])
+            yield h[np.concatenate([[True], h[1:] != h[:-1]])]
         elif n:
             yield words.windows(np.array([start]), n, 1)[:, 0] ^ mix64(np.array([n], np.uint64))
         else:
@@ -58,15 +61,15 @@ class Sketcher:
         self.salts = mix64(np.arange(1, BANDS + 1, dtype=np.uint64))
 
     def bins(self, shingles: np.ndarray) -> np.ndarray:
-        """The densified bins of a non-empty set."""
+        """The densified bins of a non-empty set: filled bins keep their own value, however many there are."""
         h = np.sort(mix64(shingles ^ np.uint64(0x5851F42D4C957F2D)))
         at = (h >> np.uint64(64 - 9)).astype(np.int64)
         first = np.flatnonzero(np.diff(at, prepend=-1))
         full, value = at[first], h[first]
         out = np.zeros(BINS, np.uint64)
-        if len(full) <= 48:
+        if len(full) <= 48:  # the same by another way, faster for few
             out = value[self.place[:, full].argmin(1)]
-            out[full] = value  # filled bins keep their own, as below
+            out[full] = value
             return out
         out[full] = value
         filled = np.zeros(BINS, bool)
@@ -79,11 +82,10 @@ class Sketcher:
             empty, t = empty[~hit], t + 1
         return out
 
-    def sketch(self, shingles: np.ndarray) -> tuple[bytes, bytes]:
-        """(band keys, 8 bits of every bin)."""
-        bins = self.bins(shingles)
-        bands = mix64((mix64(bins).reshape(BANDS, ROWS) * self.weights).sum(1, dtype=np.uint64) ^ self.salts)
-        return bands.tobytes(), ((bins >> np.uint64(20)) & np.uint64(255)).astype(np.uint8).tobytes()
+    def bands(self, shingles: np.ndarray) -> bytes:
+        """The keys of the bands."""
+        bins = mix64(self.bins(shingles)).reshape(BANDS, ROWS)
+        return mix64((bins * self.weights).sum(1, dtype=np.uint64) ^ self.salts).tobytes()
 
 
 def set_ids(s: np.ndarray) -> tuple[int, int]:
@@ -92,27 +94,25 @@ def set_ids(s: np.ndarray) -> tuple[int, int]:
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """A row for each of docs: its two ids, doc_id, the set's size and two ids, and its sketch (null for an empty set)."""
+    """A row for each of docs: its two ids, doc_id, the set's size and two ids, and its band keys (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = Sketcher()
         for batch in batches:
-            for first, texts in chunks(batch.column(3).to_pylist()):
-                n, ids, bands, bits = [], [], [], []
+            for first, texts in chunks(batch.column(3).cast(pa.binary()).to_pylist()):
+                n, ids, bands = [], [], []
                 for s in shingle_sets(texts, size):
                     n.append(len(s))
                     ids.append(set_ids(s))
-                    b, o = sketcher.sketch(s) if len(s) else (None, None)
-                    bands.append(b)
-                    bits.append(o)
+                    bands.append(sketcher.bands(s) if len(s) else None)
                 part = batch.slice(first, len(texts))
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n, pa.int64()), pa.array([x for x, _ in ids], pa.int64()), pa.array([x for _, x in ids], pa.int64()), binary(bands), binary(bits)], names=["a", "b", "doc_id", "n", "s", "t", "bands", "bits"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n, pa.int64()), pa.array([x for x, _ in ids], pa.int64()), pa.array([x for _, x in ids], pa.int64()), binary(bands)], names=["a", "b", "doc_id", "n", "s", "t", "bands"])
 
     rows = keyed(docs).select(F.col("__lw_a").alias("a"), F.col("__lw_b").alias("b"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "a long, b long, doc_id long, n long, s long, t long, bands binary, bits binary")
+    return rows.mapInArrow(run, "a long, b long, doc_id long, n long, s long, t long, bands binary")
 
 
-def node(s: str = "s", t: str = "t"):
+def node(s: str = "s", t: str = "t") -> Column:
     return F.concat(F.lpad(F.hex(s), 16, "0"), F.lpad(F.hex(t), 16, "0"))
 
 
@@ -123,65 +123,135 @@ def band_places(batch: pa.RecordBatch) -> Places:
 
 
 def bucket_rows(shared: DataFrame, classes: DataFrame) -> DataFrame:
-    """(bucket, node) for the bands that classes share, packed positions joined to the classes' band keys."""
+    """(bucket, node, n) for the bands that classes share: packed positions joined to the classes' band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, counts, keys = [], [], []
-            for name, bands, found in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            counts, keys = [], []
+            for bands, found in zip(*(batch.column(i).to_pylist() for i in (2, 3)), strict=True):
                 at = np.frombuffer(found, "<i4")
-                nodes.append(name)
                 counts.append(len(at))
                 keys.append(np.frombuffer(bands, np.int64)[at])
-            if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(nodes).take(pa.array(np.repeat(np.arange(len(nodes)), counts)))], names=["bucket", "node"])
+            if counts:
+                back = pa.array(np.repeat(np.arange(len(counts)), counts))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch.column(0).take(back), batch.column(1).take(back)], names=["bucket", "node", "n"])
 
     lists = shared.select(F.col("__lw_a").alias("s"), F.col("__lw_b").alias("t"), "positions")
-    return classes.join(lists, ["s", "t"]).select(node().alias("node"), "bands", "positions").mapInArrow(run, "bucket long, node string")
+    return classes.join(lists, ["s", "t"]).select(node().alias("node"), "n", "bands", "positions").mapInArrow(run, "bucket long, node string, n long")
 
 
-def estimated(pairs: DataFrame, bits: DataFrame) -> DataFrame:
-    """(u, v, estimate) of pairs, by the share of equal bins."""
+def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(node, shingles) of the wanted nodes, from the text of the row (a, b) that stands for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (2, 3))
-            same = (x == y).mean(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((same - 1 / 256) / (1 - 1 / 256))], names=["u", "v", "estimate"])
+            names = batch.column(0)
+            for first, texts in chunks(batch.column(1).cast(pa.binary()).to_pylist()):
+                yield pa.RecordBatch.from_arrays([names.slice(first, len(texts)), binary([s.tobytes() for s in shingle_sets(texts, size)])], names=["node", "shingles"])
 
-    left, right = (bits.select(F.col("node").alias(x), F.col("bits").alias(f"bits{x}")) for x in "uv")
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "bitsu", "bitsv").mapInArrow(run, "u string, v string, estimate double")
+    rows = keyed(docs).select(F.col("__lw_a").alias("a"), F.col("__lw_b").alias("b"), F.col("text").cast("string").alias("text"))
+    picked = rows.join(wanted.select("node", "a", "b"), ["a", "b"]).dropDuplicates(["a", "b", "node"]).select("node", "text")
+    return picked.mapInArrow(run, "node string, shingles binary")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """(u, v) of the pairs whose full sets are similar enough."""
+def cuts(members: str, shingles: str) -> Column:
+    """Into how many chunks a group is cut, so that two of them fit one task; 1 leaves it whole."""
+    many = F.greatest(F.ceil(2 * F.col(members) / GROUP_MEMBERS), F.ceil(2 * F.col(shingles) / GROUP_SHINGLES))
+    return F.when((F.col(members) <= GROUP_MEMBERS) & ((F.col(shingles) <= GROUP_SHINGLES) | (F.col(members) <= 2)), F.lit(1)).otherwise(F.least(many, F.col(members))).cast("int")
+
+
+def groups(rows: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(part, node): the tasks' groups. Rows (bucket, node, n) of clusters that fit one task are one group each; others are cut."""
+    members = clusters.join(rows.groupBy("node").agg(F.first("n").alias("n")), "node")
+    whole = members.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("total")).withColumn("cut", cuts("m", "total"))
+    buckets = rows.join(members.select("node", "cluster").join(whole.where("cut > 1").select("cluster"), "cluster"), "node")
+    # buckets of the same members are one
+    each = buckets.groupBy("cluster", "bucket").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"))
+    one = each.groupBy("cluster", "m", "total", "same").agg(F.min("bucket").alias("bucket")).withColumn("cut", cuts("m", "total"))
+    by_bucket = one.groupBy("cluster").agg(F.sum(F.col("m") * F.col("cut")).alias("ships"))
+    sized = whole.join(by_bucket, "cluster", "left").withColumn("by_bucket", F.coalesce((F.col("cut") > 1) & (F.col("ships") < F.col("m") * F.col("cut")), F.lit(False)))
+    sized = stored(sized.select("cluster", "cut", "by_bucket"))
+
+    def parts(df: DataFrame, name: Column) -> DataFrame:
+        chunk = F.pmod(F.xxhash64("node", F.lit(8)), F.col("cut")).cast("int")
+        pairs = F.transform(F.array_remove(F.sequence(F.lit(0), F.col("cut") - 1), chunk), lambda i: F.concat_ws("-", F.least(i, chunk), F.greatest(i, chunk)))
+        one_or_more = F.when(F.col("cut") == 1, F.array(F.lit("-"))).otherwise(pairs)
+        return df.select(F.explode(one_or_more).alias("pair"), name.alias("name"), "node").select(F.concat_ws("/", "name", "pair").alias("part"), "node")
+
+    by_cluster = parts(members.join(sized.where("NOT by_bucket"), "cluster"), F.col("cluster"))
+    chosen = one.join(sized.where("by_bucket").select("cluster"), "cluster").select("bucket", "cut")
+    return by_cluster.unionByName(parts(rows.join(chosen, "bucket"), F.col("bucket").cast("string")))
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """The size of every two sets' intersection, as a matrix (its diagonal is of no use)."""
+    m = len(sets)
+    every, owner = np.concatenate(sets), np.repeat(np.arange(m), [len(s) for s in sets])
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+    count = np.diff(np.append(first, len(every)))
+    kind = np.float32 if len(every) < 1 << 24 else np.float64  # counts are exact
+    out = np.zeros((m, m), kind)
+    rare = np.repeat(count <= RARE, count)
+    who, of = owner[rare], every[rare]
+    for k in range(1, int(count[count <= RARE].max(initial=1))):
+        same = np.flatnonzero(of[k:] == of[:-k])
+        if len(same):
+            out += np.bincount(who[same] * m + who[same + k], minlength=m * m).reshape(m, m).astype(kind)
+    out += out.T
+    common = np.flatnonzero(count > RARE)
+    for x in range(0, len(common), COLUMNS):
+        part = common[x : x + COLUMNS]
+        n = count[part]
+        at = np.repeat(first[part] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        has = np.zeros((m, len(part)), kind)
+        has[owner[at], np.repeat(np.arange(len(part)), n)] = 1
+        out += has @ has.T
+    return out
+
+
+def forest(sets: list[np.ndarray], similar: int) -> np.ndarray:
+    """For each set the least index that links lead to."""
+    n = np.array([len(s) for s in sets], np.int64)
+    both = intersections(sets).astype(np.int64)
+    linked = 100 * both >= similar * (n[:, None] + n[None, :] - both)
+    np.fill_diagonal(linked, True)
+    label = np.arange(len(sets))
+    while True:
+        new = np.where(linked, label[None, :], len(sets)).min(1)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= similar * (len(x) + len(y) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["u", "v"])
 
-    left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set{x}")) for x in "uv")
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "setu", "setv").mapInArrow(run, "u string, v string")
+def linked_in(parts: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
+    """(u, v): a spanning forest of the links in each group, u the first member that v is connected to there."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, names, held = None, [], []
 
-def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, shingles) of the wanted nodes, from the text of the row (a, b) that stands for each."""
+        def close() -> Iterator[pa.RecordBatch]:
+            if len(names) > 1:
+                label = forest(held, similar)
+                v = np.flatnonzero(label != np.arange(len(names)))
+                if len(v):
+                    yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in label[v].tolist()]), pa.array([names[i] for i in v.tolist()])], names=["u", "v"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.column(0)
-            for first, texts in chunks(batch.column(1).to_pylist()):
-                yield pa.RecordBatch.from_arrays([names.slice(first, len(texts)), binary([s.tobytes() for s in shingle_sets(texts, size)])], names=["node", "shingles"])
+            for p, name, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if p != part:
+                    yield from close()
+                    part, names, held = p, [], []
+                names.append(name)
+                held.append(np.frombuffer(s, np.uint64))
+        yield from close()
 
-    rows = keyed(docs).select(F.col("__lw_a").alias("a"), F.col("__lw_b").alias("b"), F.col("text").cast("string").alias("text"))
-    picked = rows.join(wanted.select("node", "a", "b"), ["a", "b"]).dropDuplicates(["a", "b", "node"]).select("node", "text")
-    return picked.mapInArrow(run, "node string, shingles binary")
+    spark = sets.sparkSession
+    together = parts.join(sets, "node").select("part", "node", "shingles")
+    dealt = together.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part").sortWithinPartitions("part", "node")
+    return dealt.mapInArrow(run, "u string, v string")
 
 
 def links(docs: DataFrame, classes: DataFrame, size: int, similar: int) -> DataFrame | None:
@@ -190,53 +260,17 @@ def links(docs: DataFrame, classes: DataFrame, size: int, similar: int) -> DataF
     shared = repeated(classes.select("s", "t", "bands"), band_places, classes.count() * BANDS)
     rows = stored(bucket_rows(shared, classes))
     release(spark)
-    wanted = rows.select("node").distinct()
-    bits = stored(classes.select(node().alias("node"), "n", "bits", "a", "b").join(wanted, "node"))
-    if not bits.limit(1).count():
+    if not rows.limit(1).count():
         return None
-    sets = stored(full_sets(docs, bits, size))
+    stars = rows.join(rows.groupBy("bucket").agg(F.min("node").alias("v")), "bucket").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
+    clusters = components(stars).withColumnRenamed("label", "cluster")
+    wanted = classes.select(node().alias("node"), "a", "b").join(clusters.select("node"), "node")
+    sets = stored(full_sets(docs, wanted, size))
     release(spark)
-    active, every, rounds = rows, None, []
-    while True:
-        sizes = active.groupBy("bucket").agg(F.min("node").alias("v"), F.count("*").alias("size")).where("size > 1")
-        held = stored(active.join(sizes, "bucket"))
-        star = held.where(F.col("size") > SMALL) if rounds else held
-        members = star.where("node <> v").select("bucket", F.col("node").alias("u"), "v")
-        pairs = members.select("u", "v")
-        if rounds:
-            small = held.where(F.col("size") <= SMALL)
-            pairs = pairs.union(small.select("bucket", F.col("node").alias("u")).join(small.select("bucket", F.col("node").alias("v")), "bucket").where("u < v").select("u", "v"))
-        guess = stored(estimated(pairs.distinct(), bits))
-        link = stored(confirmed(guess.where(F.col("estimate") >= LEAST_ESTIMATE).select("u", "v"), sets, similar))
-        every = link if every is None else stored(every.union(link))
-        rounds.append((members, guess))
-        label = stored(components(every))
-        rest = labelled(members, label).where("mine <> centre")
-        active = stored(rest.select("bucket", F.col("u").alias("node")))
-        if not active.groupBy("bucket").count().where("count > 1").limit(1).count():
-            break
-    beyond = reach(rounds, label, similar)
-    more = stored(confirmed(estimated(beyond, bits).where(F.col("estimate") >= LEAST_ESTIMATE).select("u", "v"), sets, similar))
-    return every.union(more)
-
-
-def labelled(members: DataFrame, label: DataFrame) -> DataFrame:
-    """members of stars with the components so far of each (`mine`) and of its centre (`centre`)."""
-    of = lambda x, name: label.select(F.col("node").alias(x), F.col("label").alias(name))
-    return members.join(of("u", "mine"), "u", "left").join(of("v", "centre"), "v", "left").withColumns({"mine": F.coalesce("mine", "u"), "centre": F.coalesce("centre", "v")})
-
-
-def reach(rounds: list[tuple[DataFrame, DataFrame]], label: DataFrame, similar: int) -> DataFrame:
-    """Pairs of a star's member that is not connected to the centre and one that is, if the triangle inequality leaves them in reach by their distances to the centre."""
-    slack, limit = 0.08, 1 - similar / 100
-    out = None
-    for members, guess in rounds:
-        state = stored(labelled(members, label).join(guess, ["u", "v"]))
-        outside = state.where("mine <> centre").select("bucket", "u", "estimate")
-        inside = state.where("mine = centre").select("bucket", F.col("u").alias("v"), F.col("estimate").alias("near"))
-        pairs = outside.join(inside, "bucket").where(F.abs(F.col("near") - F.col("estimate")) <= limit + slack).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        out = pairs if out is None else out.union(pairs)
-    return out.distinct()
+    found = stored(linked_in(groups(rows, clusters), sets, similar))
+    drop(rows, sets)
+    release(spark)
+    return found
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, similar: int = SIMILAR) -> DataFrame:
@@ -244,22 +278,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, similar: int = SIMILAR) -> D
 
     Rows link if 100 * intersection >= similar * union of their distinct shingles of `size` words. component_id is
     the smallest doc_id that links lead to, the row's own included; null ids are passed over. Null, empty and
-    blank texts have no shingles and link with nothing. Repeated rows link with each other.
+    blank texts have no shingles and link with nothing. Repeated rows link with each other. Other columns of docs
+    are ignored, an empty table gives an empty result.
     """
     spark = docs.sparkSession
     rows = stored(sketches(docs, size))
-    classes = stored(rows.where("n > 0").groupBy("s", "t").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.min(F.struct("a", "b", "bands", "bits")).alias("x")).select("s", "t", "least", "n", "x.*"))
+    classes = stored(rows.where("n > 0").groupBy("s", "t").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.min(F.struct("a", "b", "bands")).alias("x")).select("s", "t", "least", "n", "x.*"))
     release(spark)
     found = links(docs, classes, size, similar)
-    named = classes.select(node().alias("node"), "least")
+    named = classes.select("s", "t", node().alias("node"), "least")
     if found is None:
         grouped = named.withColumn("label", F.col("node"))
     else:
         grouped = named.join(components(found), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    grouped = stored(grouped)
+    grouped = stored(grouped.select("s", "t", "least", "label"))
     ids = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
-    of = grouped.join(ids, "label").select("node", "label", "component_id")
-    out = rows.select("a", "b", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, node()).alias("node")).join(of, "node", "left")
+    of = grouped.join(ids, "label").select("s", "t", "label", "component_id")
+    out = rows.select("a", "b", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("s")).alias("s"), "t").join(of, ["s", "t"], "left")
     return out.select("a", "b", "doc_id", "n_shingles", "label", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -277,5 +312,6 @@ def keep_one(docs: DataFrame, size: int = 5, similar: int = SIMILAR) -> DataFram
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document, as near_duplicates() with shingles of two words; kept marks the row whose doc_id is its group's smallest (null ids: null)."""
     done = near_duplicates(table(spark, sf_dir, "documents"), 2)
     return done.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))

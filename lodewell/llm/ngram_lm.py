@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from lodewell.llm.common import binary, chunks, crc_mod, mix64, open_fs, release, shared_dir, table
 from lodewell.llm.eliasfano import Sequence, encode, read_arrays, write_arrays
 from lodewell.llm.repeats import pack, unpack
-from lodewell.llm.substring import WordHashes
+from lodewell.llm.words import WordHashes
 
 ORDERS = (2, 3)
 DISCOUNT = 0.75

@@ -21,14 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from lodewell.llm.common import WORDS, chunks, drop, mix64, release, stored, table
+from lodewell.llm.common import WORDS, chunks, drop, release, stored, table
 from lodewell.llm.repeats import Places, repeated
+from lodewell.llm.words import WordHashes
 
 WINDOW = 35
 #: Perfect difference covers by period; every difference modulo the period occurs in them.
 COVERS = {7: [0, 1, 3], 13: [0, 1, 3, 9], 21: [0, 1, 4, 14, 16], 31: [0, 1, 3, 8, 12, 18]}
-#: Odd multipliers of the two rolling hashes.
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 def cover_for(window: int) -> tuple[int, list[int]]:
@@ -38,46 +37,6 @@ def cover_for(window: int) -> tuple[int, list[int]]:
     return (max(fit), COVERS[max(fit)]) if fit else (1, [0])
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    x = np.full(n, base, np.uint64)
-    if n:
-        x[0] = 1
-    return np.multiply.accumulate(x)
-
-
-class WordHashes:
-    """Two hashes of every word of some texts (runs of anything but ASCII white space), and of any window of them."""
-
-    def __init__(self, texts: list[str], lower: bool = False, hashes: int = 2, windows: bool = True):
-        cp = np.frombuffer("".join(f"{t}\n" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        if lower:
-            cp = np.where((cp >= 65) & (cp <= 90), cp + 32, cp)
-        inside = ~((cp == 32) | ((cp >= 9) & (cp <= 13)))
-        starts = np.flatnonzero(inside & np.concatenate([[True], ~inside[:-1]]))
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        at = np.searchsorted(starts, ends)
-        #: First word of each text, and the end of the last.
-        self.bounds = np.concatenate([[0], at]).astype(np.int64)
-        self.words, self.sums, self.back = [], [], []
-        if not len(starts):
-            return
-        spot = np.arange(len(cp), dtype=np.int64)
-        spot -= np.repeat(starts, np.diff(np.append(starts, len(cp)))) if starts[0] == 0 else np.concatenate([spot[: starts[0]], np.repeat(starts, np.diff(np.append(starts, len(cp))))])
-        longest = int(np.max(spot[inside], initial=0)) + 1
-        for base in BASES[:hashes]:
-            letters = np.where(inside, mix64(cp.astype(np.uint64) + np.uint64(base)) * powers(base, longest)[np.minimum(spot, longest - 1)], np.uint64(0))
-            words = mix64(np.add.reduceat(letters, starts))
-            self.words.append(words)
-            if not windows:
-                continue
-            self.sums.append(np.concatenate([[np.uint64(0)], np.cumsum(words * powers(base, len(words)), dtype=np.uint64)]))
-            self.back.append(powers(pow(base, -1, 1 << 64), len(words)))
-
-    def windows(self, at: np.ndarray, size: int, hashes: int = 2) -> np.ndarray:
-        """Hashes of the windows of `size` words that start at the words `at`."""
-        return np.stack([mix64((s[at + size] - s[at]) * b[at]) for s, b in zip(self.sums[:hashes], self.back, strict=False)], 1)
-
-
 def anchors(window: int):
     period, cover = cover_for(window)
     size = window - period + 1

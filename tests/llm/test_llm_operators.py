@@ -321,8 +321,11 @@ def test_near_duplicates_of_messy_rows(messy, empty, size):
         assert neardup.keep_one(empty).count() == 0
 
 
-def test_chains_around_the_threshold(spark):
-    """A large family of near copies whose links are not all with one centre."""
+@pytest.mark.parametrize(("members", "shingles"), [(2_048, 1 << 21), (24, 1 << 21), (2_048, 1_500)])
+def test_chains_around_the_threshold(spark, monkeypatch, members, shingles):
+    """A large family of near copies whose links are not all with one centre; in one task, and cut by members or by shingles."""
+    monkeypatch.setattr(neardup, "GROUP_MEMBERS", members)
+    monkeypatch.setattr(neardup, "GROUP_SHINGLES", shingles)
     rng = random.Random(4)
     base = [f"w{i}" for i in range(120)]
     rows = []
@@ -337,6 +340,34 @@ def test_chains_around_the_threshold(spark):
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df, 2).collect()} == dict(zip([r[0] for r in rows], ids, strict=True))
 
 
+def test_groups_hold_every_pair_of_a_bucket(spark, monkeypatch):
+    """Clusters that are cut into pairs of chunks, and others that are cut into buckets (some of them cut again)."""
+    monkeypatch.setattr(neardup, "GROUP_MEMBERS", 12)
+    rng = random.Random(6)
+    rows = [(b, f"n{i:03d}", 10) for b in range(6) for i in rng.sample(range(40), 30)]  # buckets like the cluster
+    rows += [(100 + b, f"c{b + i:03d}", 10) for b in range(60) for i in range(4)]  # a long chain of small buckets
+    rows += [(200 + b, f"c{i:03d}", 10) for b in range(2) for i in range(14)]  # twice the same members
+    clusters = spark.createDataFrame([(x, x[0]) for x in sorted({r[1] for r in rows})], "node string, cluster string")
+    got, parts = set(), {}
+    for r in neardup.groups(spark.createDataFrame(rows, "bucket long, node string, n long"), clusters).collect():
+        parts.setdefault(r.part, set()).add(r.node)
+    for part in parts.values():
+        got |= {(a, b) for a in part for b in part}
+    buckets = {}
+    for bucket, name, _ in rows:
+        buckets.setdefault(bucket, set()).add(name)
+    assert all((a, b) in got for names in buckets.values() for a in names for b in names if a != b)
+    assert sum(1 for p in parts if p.startswith("c/")) == 0 and any(p.startswith("n/") for p in parts)
+    assert not {p.split("/")[0] for p in parts} >= {"200", "201"}
+
+
+def test_intersections_are_exact():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 400, rng.integers(1, 300), dtype=np.uint64)) for _ in range(60)]
+    got = neardup.intersections(sets)
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(60) for j in range(60) if i != j)
+
+
 def test_bins_estimate_similarity():
     s, rng = neardup.Sketcher(), np.random.default_rng(5)
     for n in (5, 40, 400, 4_000):
