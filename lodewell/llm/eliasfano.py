@@ -8,30 +8,49 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 
-MAGIC = b"LWEF0001"
+MAGIC, SPARE = b"LWEF0001", 1
 POPCOUNT = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 #: Place of the k-th set bit of a byte.
 SELECT = np.array([[([i for i in range(8) if b >> i & 1] + [0] * 8)[k] for k in range(8)] for b in range(256)], np.uint8)
 
 
+EACH, TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+
+
+def select(words: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Place of the k-th set bit (from 0) of each 64-bit word, which has that many."""
+    u = np.uint64
+    sums = words - (words >> u(1) & u(0x5555555555555555))
+    sums = (sums & u(0x3333333333333333)) + (sums >> u(2) & u(0x3333333333333333))
+    sums = (sums + (sums >> u(4)) & u(0x0F0F0F0F0F0F0F0F)) * EACH  # set bits up to the end of each byte
+    k = k.astype(np.uint64)
+    octet = ((((k * EACH | TOPS) - sums & TOPS) >> u(7)) * EACH >> u(56)) * u(8)  # bytes that end before it
+    k -= sums << u(8) >> octet & u(255)
+    return octet.astype(np.int64) + SELECT[words >> octet & u(255), k]
+
+
 def to_words(bits: np.ndarray) -> np.ndarray:
     packed = np.packbits(bits, bitorder="little")
     return np.concatenate([packed, np.zeros(-len(packed) % 8 + 8, np.uint8)]).view("<u8")
 
 
 def encode(values: np.ndarray) -> dict[str, np.ndarray]:
-    """A monotone sequence of unsigned numbers: the low bits packed, the high bits in unary with the zeros before each word."""
+    """A monotone sequence of unsigned numbers: the low bits packed, the high bits in unary with the zeros before each word.
+
+    SPARE more high bits than the smallest size asks for keep the searched stretches short, for a bit a value.
+    """
     values = values.astype(np.uint64)
     n = len(values)
     span = int(values[-1]) + 1 if n else 1
-    width = max(0, (span // max(1, n)).bit_length() - 1)
+    width = max(0, (span // max(1, n)).bit_length() - 1 - SPARE)
     low = np.zeros(n * width // 64 + 2, np.uint64)
-    step = 1 << 16  # a multiple of 64 values ends on a word
-    for a in range(0, n if width else 0, step):
-        part = values[a : a + step]
-        bits = (part[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)
-        words = to_words(bits.astype(np.uint8).ravel())[: -(-len(part) * width // 64)]
-        low[a * width // 64 : a * width // 64 + len(words)] = words
+    if n and width:
+        part, bit = values & np.uint64((1 << width) - 1), np.arange(n, dtype=np.uint64) * np.uint64(width)
+        at, off = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
+        first = np.flatnonzero(np.diff(at, prepend=-1))
+        low[at[first]] = np.bitwise_or.reduceat(part << off, first)
+        last = np.append(first[1:], n) - 1  # only the last value of a word reaches into the next one
+        low[at[last] + 1] |= (part[last] >> np.uint64(1)) >> (np.uint64(63) - off[last])
     high = (values >> np.uint64(width)).astype(np.int64)
     bits = np.zeros((int(high[-1]) if n else 0) + n + 2, np.uint8)
     bits[high + np.arange(n)] = 1
@@ -59,13 +78,7 @@ class Sequence:
     def select_zero(self, k: np.ndarray) -> np.ndarray:
         """Place of the k-th zero of the unary part, from 0."""
         word = np.searchsorted(self.zeros, k, "right") - 1
-        left = (k - self.zeros[word]).astype(np.int64)
-        octets = (~self.unary[word]).view(np.uint8).reshape(-1, 8)
-        sums = np.cumsum(POPCOUNT[octets], axis=1, dtype=np.int64)
-        octet = (sums <= left[:, None]).sum(1)
-        rows = np.arange(len(k))
-        before = np.where(octet > 0, sums[rows, octet - 1], 0)
-        return word * 64 + octet * 8 + SELECT[octets[rows, octet], left - before]
+        return word * 64 + select(~self.unary[word], k - self.zeros[word])
 
     def bucket(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Begin and end of the values with these high bits: the ones between two zeros of the unary part."""
@@ -108,13 +121,7 @@ class Sequence:
         """The values at i: the high bits by a search for the i-th one."""
         ones = np.arange(len(self.zeros), dtype=np.int64) * 64 - self.zeros
         word = np.searchsorted(ones, i, "right") - 1
-        left = (i - ones[word]).astype(np.int64)
-        octets = self.unary[word].view(np.uint8).reshape(-1, 8)
-        sums = np.cumsum(POPCOUNT[octets], axis=1, dtype=np.int64)
-        octet = (sums <= left[:, None]).sum(1)
-        rows = np.arange(len(i))
-        before = np.where(octet > 0, sums[rows, octet - 1], 0)
-        place = word * 64 + octet * 8 + SELECT[octets[rows, octet], left - before]
+        place = word * 64 + select(self.unary[word], i - ones[word])
         return (place - i).astype(np.uint64) << np.uint64(self.width) | self.low(i)
 
 

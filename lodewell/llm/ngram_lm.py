@@ -52,8 +52,12 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def summed(keys: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct keys (columns, the first most significant), sorted, with their counts' sums."""
-    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+    order = np.argsort(keys[0], kind="stable")
     keys = [k[order] for k in keys]
+    for i in range(1, len(keys)):  # each next key under 2 ** 32, within equal ones before it
+        rank = np.cumsum(np.concatenate([[False], np.logical_or.reduce([k[1:] != k[:-1] for k in keys[:i]])])) if len(order) else order
+        again = np.argsort((rank << 32) | keys[i].astype(np.int64), kind="stable")
+        order, keys = order[again], [k[again] for k in keys]
     new = np.ones(len(order), bool)
     new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
     first = np.flatnonzero(new)
@@ -66,6 +70,11 @@ def stretches(x: np.ndarray) -> Iterator[tuple[int, int, int]]:
     return zip(x[edges].tolist(), edges, [*edges[1:], len(x)][: len(edges)], strict=True)
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Small numbers in 16 bits, which numpy sorts by radix."""
+    return x.astype(np.uint16) if x.max(initial=0) < 1 << 16 else x
+
+
 def deltas(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=x[:1] * 0)
 
@@ -80,9 +89,8 @@ class Vocabulary:
     tokens: int
     size: int
 
-    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(id, or -1 for an unknown word; count) of each hash."""
-        distinct, back = np.unique(hashes, return_inverse=True)
+    def find(self, distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(id, or -1 for an unknown word; count) of each of some sorted distinct hashes."""
         ids, counts = np.full(len(distinct), -1, np.int64), np.zeros(len(distinct), np.int64)
         bucket = (distinct >> np.uint64(64 - self.bits)).astype(np.int64)
         for i, a, b in stretches(bucket):
@@ -93,7 +101,7 @@ class Vocabulary:
             hit = got["hashes"][np.minimum(at, len(got["hashes"]) - 1)] == distinct[a:b]
             ids[a:b] = np.where(hit, at + self.bases[i], -1)
             counts[a:b] = np.where(hit, got["counts"][np.minimum(at, len(got["counts"]) - 1)], 0)
-        return ids[back], counts[back]
+        return ids, counts
 
     def file(self, i: int) -> dict[str, np.ndarray] | None:
         if not hasattr(self, "opened"):
@@ -130,7 +138,7 @@ def sent(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 def cut(shard: np.ndarray, columns: list[np.ndarray], ngram: int) -> list[tuple[int, int, bytes]]:
     """Sorted columns (the last: counts) by shard, packed: differences of the first, the others as they are."""
-    order = np.argsort(shard, kind="stable")
+    order = np.argsort(narrow(shard), kind="stable")
     out = []
     for i, a, b in stretches(shard[order]):
         first, *rest = (c[order[a:b]] for c in columns)
@@ -149,7 +157,7 @@ def count_words(texts: DataFrame, out: str, buckets_log2: int) -> Vocabulary:
             return sent(cut((h >> np.uint64(64 - buckets_log2)).astype(np.int64), [h, n], 1))
 
         for batch in batches:
-            for _, part in chunks(batch.column(0).to_pylist()):
+            for _, part in chunks(batch.column(0).cast(pa.binary()).to_pylist()):
                 h, _ = tokens(part)
                 run.append(h)
                 size += len(h)
@@ -175,13 +183,40 @@ def count_words(texts: DataFrame, out: str, buckets_log2: int) -> Vocabulary:
     return Vocabulary(out, buckets_log2, [0, *np.cumsum(sizes).tolist()], sum(r["tokens"] for r in made), int(sizes.sum()))
 
 
-def grams(ids: np.ndarray, lengths: np.ndarray, order: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place of the last word, context key, last word) of the n-grams within texts whose context is known."""
-    place = np.arange(len(ids)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    at = np.flatnonzero(place >= order - 1)
-    context = ids[at - 1] if order == 2 else ids[at - 2] * size + ids[at - 1]
-    known = np.logical_and.reduce([ids[at - k] >= 0 for k in range(1, order)])
-    return at[known], context[known], ids[at[known]]
+@dataclass
+class Run:
+    """The tokens of some texts, as numbers of the run's distinct hashes (`kind`), which are in the order of the hashes and thus of ids."""
+
+    hashes: np.ndarray
+    kind: np.ndarray
+    place: np.ndarray
+
+    @classmethod
+    def of(cls, hashes: np.ndarray, lengths: np.ndarray) -> Run:
+        distinct, kind = np.unique(hashes, return_inverse=True)
+        return cls(distinct, kind, np.arange(len(kind)) - np.repeat(np.cumsum(lengths) - lengths, lengths))
+
+    def ngrams(self, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """(columns of kinds, counts) of the distinct n-grams within texts, sorted."""
+        at, n = np.flatnonzero(self.place >= order - 1), len(self.hashes)
+        columns = [self.kind[at - k] for k in range(order - 1, -1, -1)]
+        if n**order >= 1 << 63:
+            return summed(columns, np.ones(len(at), np.int64))
+        key = columns[0]
+        for c in columns[1:]:
+            key = key * n + c
+        key.sort()
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        count, key, out = np.diff(np.append(first, len(key))), key[first], []
+        for _ in range(order - 1):
+            key, last = np.divmod(key, n)
+            out.append(last)
+        return [key, *out[::-1]], count
+
+
+def context_of(words: list[np.ndarray], size: int) -> np.ndarray:
+    """The key of a context, of one word's ids or two words'."""
+    return words[0] if len(words) == 1 else words[0] * size + words[1]
 
 
 def shard_of(context: np.ndarray, shards: int) -> np.ndarray:
@@ -190,10 +225,9 @@ def shard_of(context: np.ndarray, shards: int) -> np.ndarray:
 
 def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(codes, codebook) of positive values: 256 levels at quantiles of the distinct values' logarithms."""
-    logs = np.log10(np.maximum(values, 1e-30))
-    distinct = np.unique(logs)
-    book = np.unique(np.quantile(distinct, np.linspace(0, 1, 256))) if len(distinct) > 256 else distinct
-    code = np.searchsorted((book[1:] + book[:-1]) / 2, logs)
+    distinct = np.log10(np.maximum(np.unique(values), 1e-30))
+    book = np.unique(np.quantile(distinct, np.linspace(0, 1, 256))) if len(distinct) > 256 else np.unique(distinct)
+    code = np.searchsorted(10 ** ((book[1:] + book[:-1]) / 2), values)
     return code.astype(np.uint8), book.astype(np.float64)
 
 
@@ -218,25 +252,18 @@ class Level:
         self.a, self.b = (10.0 ** arrays[book] for book in ("book", "back_book"))
         self.codes, self.back, self.size = arrays["codes"], arrays["back"], size
 
-    def weights(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(a, b, more) for each context and word: an unknown context has (0, 1), an unseen word a = 0; more: both together were seen, so they may be a context of the next level."""
-        a, b, more = np.zeros(len(context)), np.ones(len(context)), np.zeros(len(context), bool)
-        distinct, back = np.unique(context, return_inverse=True)
-        at, hit = self.contexts.successor(distinct)
-        known = np.flatnonzero(hit[back])
-        if not len(known):
-            return a, b, more
-        node = at[back[known]]
-        b[known] = self.b[self.back[node]]
-        ask = np.flatnonzero(word[known] >= 0)
-        key = node[ask].astype(np.uint64) * np.uint64(self.size) + word[known[ask]].astype(np.uint64)
-        keys, back = np.unique(key, return_inverse=True)
-        place, found = self.words.successor(keys)
-        found = found[back]
-        hit, place = known[ask[found]], place[back[found]]
-        a[hit] = self.a[self.codes[place]]
-        more[hit] = True
-        return a, b, more
+    def weights(self, contexts: np.ndarray, owner: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(b, a, more): b of each distinct context, 1 if unknown; for each word (an id, or -1) that follows contexts[owner], a (0 if unseen) and whether both together were seen, so that they may be a context of the next level."""
+        b, a, more = np.ones(len(contexts)), np.zeros(len(word)), np.zeros(len(word), bool)
+        node, known = self.contexts.successor(contexts)
+        b[known] = self.b[self.back[node[known]]]
+        ask = np.flatnonzero(known[owner] & (word >= 0))
+        if len(ask):
+            place, found = self.words.successor(node[owner[ask]].astype(np.uint64) * np.uint64(self.size) + word[ask].astype(np.uint64))
+            hit = ask[found]
+            a[hit] = self.a[self.codes[place[found]]]
+            more[hit] = True
+        return b, a, more
 
     def successors(self, context: int) -> list[tuple[int, float]]:
         """(id, a) of a context's successors, by its pointers."""
@@ -266,28 +293,46 @@ class Model:
             self.opened[order, shard] = Level(read_arrays(fs, f"{base}/level-{order}-{shard:06d}"), self.vocabulary.size)
         return self.opened[order, shard]
 
-    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def score(self, texts: list[str] | list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(tokens, known tokens, base score, model score) of each text."""
         v = self.vocabulary
         hashes, lengths = tokens(texts)
-        ids, counts = v.find(hashes)
+        run = Run.of(hashes, lengths)
+        ids, counts = v.find(run.hashes)
         base = (counts + 0.5) / (v.tokens + 0.5 * (v.size + 1))
-        p, more = base.copy(), np.ones(len(ids), bool)
+        p = base[run.kind]
+        # distinct contexts of the level: the words of their kinds; each token's context before it, or -1
+        words, before = [ids], np.where(run.place > 0, np.concatenate([[0], run.kind[:-1]]), -1)
+        before[before >= 0] = np.where(ids[before[before >= 0]] >= 0, before[before >= 0], -1)
         for order in ORDERS:
-            at, context, word = grams(ids, lengths, order, v.size)
-            open_ = more[at - 1]
-            at, context, word = at[open_], context[open_], word[open_]
-            more = np.zeros(len(ids), bool)
-            shard = shard_of(context, self.shards)
-            by = np.argsort(shard, kind="stable")
-            for i, a, b in stretches(shard[by]):
-                if (here := self.level(order, i)) is not None:
-                    rows = by[a:b]
-                    seen, back, more[at[rows]] = here.weights(context[rows], word[rows])
-                    p[at[rows]] = seen + back * p[at[rows]]
+            at = np.flatnonzero(before >= 0)
+            key, back = np.unique(before[at] * len(ids) + run.kind[at], return_inverse=True)
+            owner, word = np.divmod(key, max(1, len(ids)))
+            b, a, more = self.weights(order, context_of(words, v.size), owner, ids[word])
+            p[at] = a[back] + b[owner][back] * p[at]
+            if order < ORDERS[-1]:
+                words = [*[w[owner] for w in words], ids[word]]
+                seen = np.full(len(p), -1)
+                seen[at] = np.where(more, np.arange(len(key)), -1)[back]
+                before = np.where(run.place > order - 1, np.concatenate([[-1], seen[:-1]]), -1)
         first = np.cumsum(lengths) - lengths
         add = lambda x: np.add.reduceat(x, first)
-        return lengths, add((counts > 0).astype(np.int64)), add(np.log10(base)), add(np.log10(np.minimum(p, 1.0)))
+        return lengths, add((counts > 0).astype(np.int64)[run.kind]), add(np.log10(base)[run.kind]), add(np.log10(np.minimum(p, 1.0)))
+
+    def weights(self, order: int, contexts: np.ndarray, owner: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Level.weights over the level's shards; owners are sorted."""
+        b, a, more = np.ones(len(contexts)), np.zeros(len(word)), np.zeros(len(word), bool)
+        asked = np.flatnonzero(np.bincount(owner, minlength=len(contexts)))
+        shard = shard_of(contexts[asked], self.shards)
+        by = asked[np.argsort(narrow(shard), kind="stable")]
+        starts, ends = np.searchsorted(owner, by), np.searchsorted(owner, by, "right")
+        for i, x, y in stretches(np.sort(shard)):
+            if (here := self.level(order, i)) is None:
+                continue
+            n = ends[x:y] - starts[x:y]
+            at = np.repeat(starts[x:y] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            b[by[x:y]], a[at], more[at] = here.weights(contexts[by[x:y]], np.repeat(np.arange(y - x), n), word[at])
+        return b, a, more
 
 
 def train(docs: DataFrame) -> Model:
@@ -302,25 +347,24 @@ def train(docs: DataFrame) -> Model:
     size = vocabulary.size
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run: dict[int, list] = {order: [] for order in ORDERS}
-        held = 0
+        parts, held = [], 0
 
         def flush() -> pa.RecordBatch:
+            run = Run.of(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            ids, _ = vocabulary.find(run.hashes)
             rows = []
-            for order, parts in run.items():
-                context, word = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-                (context, word), n = summed([context, word], np.ones(len(word), np.int64))
-                rows += cut(shard_of(context, shards), [context, word, n], order)
-                parts.clear()
+            for order in ORDERS:
+                words, n = run.ngrams(order)
+                words = [ids[w] for w in words]
+                context = context_of(words[:-1], size)
+                rows += cut(shard_of(context, shards), [context, words[-1], n], order)
+            parts.clear()
             return sent(rows)
 
         for batch in batches:
-            for _, part in chunks(batch.column(0).to_pylist()):
-                hashes, lengths = tokens(part)
-                ids, _ = vocabulary.find(hashes)
-                for order in ORDERS:
-                    run[order].append(grams(ids, lengths, order, size)[1:])
-                held += len(ids)
+            for _, part in chunks(batch.column(0).cast(pa.binary()).to_pylist()):
+                parts.append(tokens(part))
+                held += len(parts[-1][0])
                 if held >= RUN_TOKENS:
                     yield flush()
                     held = 0
@@ -349,7 +393,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, texts in chunks(batch.column(1).to_pylist(), SCORE_CHARS):
+            for first, texts in chunks(batch.column(1).cast(pa.binary()).to_pylist(), SCORE_CHARS):
                 part = batch.slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array(x) for x in model.score(texts))], names=["doc_id", "held", "n_tokens", "n_known", "base_score", "score"])
 

@@ -57,7 +57,7 @@ def near(ids, texts, size, similar=80):
     return [len(s) for s in sets], [min((x for x in groups[find(i)] if x is not None), default=None) for i in range(len(sets))], [find(i) for i in range(len(sets))]
 
 
-def lm(train, texts, discount=0.75, least=2):
+def lm(train, texts, discount=0.75):
     """(tokens, known, base, score) of texts, and the training tokens."""
     seen = [[*words(t, True), None] for t in train]
     c1 = Counter(w for t in seen for w in t)
@@ -70,8 +70,7 @@ def lm(train, texts, discount=0.75, least=2):
         held2[a] += k - discount
     for (a, b, _), k in c3.items():
         total3[a, b] += k
-        if k >= least:
-            held3[a, b] += k - discount
+        held3[a, b] += k - discount
     out = []
     for text in texts:
         t, base, score = [*words(text, True), None], 0.0, 0.0
@@ -83,8 +82,7 @@ def lm(train, texts, discount=0.75, least=2):
                 p = max(c2[a, w] - discount, 0) / total2[a] + (1 - held2[a] / total2[a]) * p
             if i > 1 and held3[t[i - 2], t[i - 1]]:
                 a = (t[i - 2], t[i - 1])
-                k = c3[*a, w]
-                p = (k - discount if k >= least else 0) / total3[a] + (1 - held3[a] / total3[a]) * p
+                p = max(c3[*a, w] - discount, 0) / total3[a] + (1 - held3[a] / total3[a]) * p
             score += math.log10(p)
         out.append((len(t), sum(c1[w] > 0 for w in t), base, score))
     return out, n

@@ -103,10 +103,14 @@ def test_language_id(spark, sf, rows):
 
 
 def test_pipeline(spark, sf, rows, duck):
-    """Each stage by brute force: letters, five-word near-duplicates, repeated passages, the mix by SQL, tiktoken."""
+    """Each stage by brute force: predictions against lang, five-word near-duplicates, repeated passages, the mix by SQL, tiktoken."""
     import corpus_pipeline
+    from lodewell.llm import langid
 
-    docs = [r for r in rows if any(c.isalpha() for c in r.text)]
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    predicted = {r.doc_id: r.lang_pred for r in langid.identify(documents, langid.fit(documents)).collect()}
+    docs = [r for r in rows if predicted[r.doc_id] == r.lang]
+    assert len(docs) > 0.95 * len(rows)
     _, _, groups = near([r.doc_id for r in docs], [r.text for r in docs], 5)
     first = {}
     for r, g in zip(docs, groups, strict=True):
