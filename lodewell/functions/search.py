@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -43,3 +43,10 @@ def windows(c: Column, size: int = 400, step: int = 300) -> Column:
     starts = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(step))
     kept = F.filter(starts, lambda s: (s == 0) | (s + size - step < F.size(words)))
     return F.transform(kept, lambda s: F.array_join(F.slice(words, s + 1, F.lit(size)), " "))
+
+
+def section_chunks(rows: DataFrame, key: str, sections: list[str], size: int = 400, step: int = 300) -> DataFrame:
+    """(key, section, chunk, words): each section of a row in chunks of its own, numbered from 0; a section without words has none."""
+    every = F.array(*[F.struct(F.lit(s).alias("section"), F.col(s).cast("string").alias("text")) for s in sections])
+    each = rows.select(key, F.explode(every).alias("x")).select(key, "x.section", "x.text").where(F.coalesce(F.col("text"), F.lit("")).rlike(r"\S"))
+    return each.select(key, "section", F.posexplode(windows(F.col("text"), size, step)).alias("chunk", "words")).withColumn("chunk", F.col("chunk").cast("long"))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodewell.session import shared_dir
+
 ACTIONS = ("insert", "update", "skip")
 
 
@@ -44,15 +46,17 @@ def tally(merged: DataFrame) -> DataFrame:
 def with_surrogate_ids(merged: DataFrame, id_column: str, order: list[str]) -> DataFrame:
     """Ids for rows whose id is null: from the largest id on, in the order of the natural key.
 
-    The new rows are numbered within range partitions and the partitions' counts are added up, so no single task sorts them all.
+    The new rows are dealt out by ranges of the key once and written to the shared folder, so that counts and
+    numbers see the same ranges; each range is numbered by itself, from the sum of the counts before it.
     """
     spark = merged.sparkSession
     top = merged.agg(F.coalesce(F.max(id_column), F.lit(0))).first()[0]
     have, lack = merged.where(F.col(id_column).isNotNull()), merged.where(F.col(id_column).isNull())
-    ranged = lack.repartitionByRange(*[F.col(c) for c in order]).withColumn("__part", F.spark_partition_id())
-    counts = sorted((r[0], r[1]) for r in ranged.groupBy("__part").count().collect())  # a row for each partition
+    parts, path = int(spark.conf.get("spark.sql.shuffle.partitions")), shared_dir(spark)
+    lack.repartitionByRange(parts, *[F.col(c) for c in order]).withColumn("__part", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.schema(lack.withColumn("__part", F.lit(0)).schema).parquet(path)
     starts, at = [], top
-    for part, n in counts:
+    for part, n in sorted((r[0], r[1]) for r in ranged.groupBy("__part").count().collect()):  # a row for each range
         starts.append((part, at))
         at += n
     if not starts:

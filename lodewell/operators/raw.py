@@ -1,12 +1,7 @@
-"""The raw layer: pending scans, marking, resets, run log."""
+"""The raw layer: pending scans, marking, resets. Runs are in ingestion.py."""
 
 from __future__ import annotations
 
-import traceback
-from collections.abc import Iterator
-from contextlib import contextmanager
-from dataclasses import dataclass, field
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,34 +38,3 @@ class BudgetExceeded(RuntimeError):
     def __init__(self, source: str, limit: int, used: int):
         super().__init__(f"{source}: {used} of {limit} calls used")
         self.source, self.limit, self.used = source, limit, used
-
-
-@dataclass
-class Run:
-    id: int
-    source: str
-    status: str = "running"
-    api_calls: int = 0
-    fetched: int = 0
-    new: int = 0
-    errors: int = 0
-    detail: dict = field(default_factory=dict)
-    finished: bool = False
-
-
-@contextmanager
-def run_log(source: str, run_id: int, log: list[Run]) -> Iterator[Run]:
-    """Logs a run: success, budget (an exhausted call budget ends it without failing) or failed (the error goes on); always finished."""
-    run = Run(run_id, source)
-    log.append(run)
-    try:
-        yield run
-        run.status = "success"
-    except BudgetExceeded as e:
-        run.status, run.errors, run.detail = "budget", 1, {"message": str(e), "limit": e.limit}
-    except Exception as e:
-        run.status, run.errors = "failed", 1
-        run.detail = {"type": type(e).__name__, "message": str(e), "trace": traceback.format_exc()[-2000:]}
-        raise
-    finally:
-        run.finished = True

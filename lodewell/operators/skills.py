@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from lodewell.schemas import CATEGORIES
 
-#: A dictionary of at most so many surface forms is joined by broadcast.
-BROADCAST_FORMS = 50_000
+#: Words of the longest surface form that is looked for.
+LONGEST_FORM = 5
 
 
 def validate(skills: DataFrame) -> DataFrame:
@@ -38,12 +38,24 @@ def words(c: Column) -> Column:
     return F.transform(raw, lambda x: F.regexp_replace(x, r"[.\-]+$", ""))
 
 
-def match_words(texts: DataFrame, key: str, column: str, skills: DataFrame) -> DataFrame:
-    """(key, skill, occurrences): an equi-join of the texts' words (counted before the join) with one-word forms."""
-    counted = texts.select(key, F.explode(words(F.col(column))).alias("form")).groupBy(key, "form").agg(F.count("*").alias("n"))
-    forms = surface_forms(skills)
-    forms = F.broadcast(forms) if forms.count() <= BROADCAST_FORMS else forms
-    return counted.join(forms, "form").groupBy(key, "skill").agg(F.sum("n").alias("occurrences"))
+def phrases(c: Column, longest: int) -> Column:
+    """Every run of one to `longest` words of a text, joined by one space."""
+    runs = lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.size(c)), lambda i: i <= F.size(c) - n + 1), lambda i: F.array_join(F.slice(c, i, F.lit(n)), " "))
+    return c if longest == 1 else F.when(F.size(c) > 0, F.flatten(F.array(c, *[runs(n) for n in range(2, longest + 1)]))).otherwise(c)
+
+
+def match_words(texts: DataFrame, key: str, column: str, skills: DataFrame, longest: int | None = None) -> DataFrame:
+    """(key, skill, occurrences): an equi-join of the texts' words and runs of words with the dictionary's forms, then the counts of what matched.
+
+    Forms are cut into words as texts are, so forms of several words match too, up to `longest` of them (the
+    dictionary's longest, LONGEST_FORM at most); a form inside a longer one counts as well. The optimizer broadcasts the forms where their size allows; only
+    matches are ever shuffled then.
+    """
+    forms = surface_forms(skills).select(F.array_join(words(F.col("form")), " ").alias("form"), "skill").where("form <> ''").distinct()
+    if longest is None:
+        longest = min(LONGEST_FORM, forms.agg(F.max(F.size(F.split("form", " ")))).first()[0] or 1)
+    found = texts.withColumn("__words", words(F.col(column))).select(key, F.explode(phrases(F.col("__words"), longest)).alias("form"))
+    return found.join(forms, "form").groupBy(key, "skill").agg(F.count("*").alias("occurrences"))
 
 
 def match_patterns(texts: DataFrame, key: str, column: str, patterns: dict[str, str]) -> DataFrame:
@@ -52,10 +64,27 @@ def match_patterns(texts: DataFrame, key: str, column: str, patterns: dict[str,
     return texts.select(key, F.explode(F.filter(F.array(*hits), lambda x: x["occurrences"] > 0)).alias("x")).select(key, "x.*")
 
 
-def job_skills(required: DataFrame, preferred: DataFrame, key: str) -> DataFrame:
-    """(key, skill, is_required, occurrences) of matches in the required and the preferred part."""
+def job_skills(required: DataFrame, preferred: DataFrame, key: str, extracted_by: str = "dict_v1", confidence: Column | None = None) -> DataFrame:
+    """(key, skill, is_required, occurrences, confidence, extracted_by) of matches in the required and the preferred part.
+
+    A skill of both parts is required. confidence is 1 unless given as an expression of the other columns; it is kept within 0 and 1.
+    """
     both = required.withColumn("is_required", F.lit(True)).unionByName(preferred.withColumn("is_required", F.lit(False)))
-    return both.groupBy(key, "skill").agg(F.max("is_required").alias("is_required"), F.sum("occurrences").alias("occurrences"))
+    found = both.groupBy(key, "skill").agg(F.max("is_required").alias("is_required"), F.sum("occurrences").alias("occurrences"))
+    sure = F.lit(1.0) if confidence is None else F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence))
+    return found.withColumns({"confidence": sure.cast("float"), "extracted_by": F.lit(extracted_by)})
+
+
+def jobs_with(jobs: DataFrame, found: DataFrame, key: str, skill: str, required: bool | None = True) -> DataFrame:
+    """The reverse lookup: postings that ask for a skill (required only, preferred only with False, either with None)."""
+    hits = found.where(F.col("skill") == skill)
+    hits = hits if required is None else hits.where(F.col("is_required") == required)
+    return jobs.join(hits.select(key), key, "left_semi")
+
+
+def by_alias(skills: DataFrame, alias: str) -> DataFrame:
+    """Skills that own an alias, in whatever case."""
+    return skills.where(F.array_contains(F.transform("aliases", F.lower), alias.lower()))
 
 
 def precision_recall(found: DataFrame, truth: DataFrame) -> DataFrame:
@@ -67,10 +96,11 @@ def precision_recall(found: DataFrame, truth: DataFrame) -> DataFrame:
     return j.agg(F.round(hit / F.nullif(F.sum(F.size(f)), F.lit(0)), 4).alias("precision"), F.round(hit / F.nullif(F.sum(F.size(t)), F.lit(0)), 4).alias("recall"))
 
 
-def market_stats(rows: DataFrame, group: str, skill: str, required: Column, pay: str) -> DataFrame:
-    """For each group and skill: postings, required_count, avg_pay, and the rank by postings in the group."""
-    stats = rows.groupBy(group, skill).agg(F.count("*").alias("postings"), F.count_if(required).alias("required_count"), F.round(F.avg(pay), 4).alias("avg_pay"))
-    return stats.withColumn("rank", F.rank().over(Window.partitionBy(group).orderBy(F.desc("postings"))))
+def market_stats(rows: DataFrame, group: str | list[str], skill: str, required: Column, pay: str) -> DataFrame:
+    """For each group (a category, or a day and a category) and skill: postings, required_count, avg_pay, and the rank by postings in the group."""
+    group = [group] if isinstance(group, str) else group
+    stats = rows.groupBy(*group, skill).agg(F.count("*").alias("postings"), F.count_if(required).alias("required_count"), F.round(F.avg(pay), 4).alias("avg_pay"))
+    return stats.withColumn("rank", F.rank().over(Window.partitionBy(*group).orderBy(F.desc("postings"))))
 
 
 def skill_gap(demand: DataFrame, held: DataFrame, skill: str, n: int) -> DataFrame:

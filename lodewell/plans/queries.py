@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodewell.functions import hashing, parse, search
 from lodewell.operators import dedup, merge, normalize, quality, rank, raw, skills
+from lodewell.session import shared_dir
 from lodewell.sources import dictionary, synthetic
 from lodewell.streaming import ingest
 
@@ -226,7 +227,7 @@ def count_by_endpoint(spark, d):
 
 # Contract
 
-TITLE = "CASE WHEN doc_id % 17 = 0 THEN NULL WHEN doc_id % 19 = 0 THEN '' ELSE substr(text, 1, 290 + CAST(doc_id % 20 AS INT)) END"
+TITLE = "CASE WHEN doc_id % 17 = 0 THEN NULL WHEN doc_id % 19 = 0 THEN '' ELSE text END"
 
 
 @query(f"SELECT doc_id FROM documents WHERE length({TITLE}) BETWEEN 1 AND 300")
@@ -401,14 +402,6 @@ def array_set_ops(spark, d):
 
 # Skills and search
 
-FAULTY = [("Python", "language", ["py", "python"], []), ("Java", "language", ["jvm"], []), ("Java", "tool", ["py"], []), ("Rust", "metal", ["rs"], []), ("C#", "language", [], [])]
-
-
-@query("""SELECT * FROM (VALUES ('duplicate_name', 'Java'), ('unknown_category', 'Rust'), ('alias_taken', 'py'), ('alias_is_name', 'Python')) v(problem, name)""")
-def dictionary_validation(spark, d):
-    return skills.validate(dictionary.skills(spark, FAULTY))
-
-
 WORDS = [("the", "language", ["of", "and"], []), ("der", "tool", ["die", "das"], []), ("idiot", "soft", ["moron"], [])]
 FORMS = "SELECT * FROM (VALUES ('the', 'the'), ('of', 'the'), ('and', 'the'), ('der', 'der'), ('die', 'der'), ('das', 'der'), ('idiot', 'idiot'), ('moron', 'idiot')) f(form, skill)"
 
@@ -437,12 +430,6 @@ def market_stats_rank(spark, d):
     return skills.market_stats(rows, "lang", "source", F.coalesce(F.col("toxic") == 1, F.lit(False)), "n_chars")
 
 
-@query("SELECT p_type, CAST(count(*) AS BIGINT) AS demand FROM part WHERE p_type NOT IN (SELECT p_type FROM part WHERE p_size = 1) GROUP BY p_type ORDER BY demand DESC, p_type LIMIT 10")
-def skill_gap_topn(spark, d):
-    p = t(spark, d, "part")
-    return skills.skill_gap(p, p.where("p_size = 1"), "p_type", 10)
-
-
 QUERY_VECTOR = [((i * 37) % 11 - 5) / 10 for i in range(64)]
 
 
@@ -494,10 +481,7 @@ def daily_budget(spark, d):
 @query("SELECT user_id, event_type, CAST(1 AS BIGINT) AS n FROM events GROUP BY user_id, event_type")
 def stream_ingest_dedup(spark, d):
     """Two runs over the same files; the second finds nothing new."""
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}"
-    base = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = shared_dir(spark)
     batch = t(spark, d, "events").select("event_id", "ts", "user_id", "event_type")
     batch.write.parquet(f"{base}/in")
     for name in ("first", "again"):
@@ -505,15 +489,20 @@ def stream_ingest_dedup(spark, d):
     return spark.read.schema(batch.schema).parquet(f"{base}/first").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
+def postings(spark, d) -> DataFrame:
+    """As many synthetic postings as there are orders."""
+    return synthetic.postings(spark, t(spark, d, "orders").count())
+
+
 @query()
 def synthetic_source(spark, d):
-    return synthetic.postings(spark, 2_500).select("source_id", F.length("payload").alias("chars"), F.size("required").alias("n_required"))
+    return postings(spark, d).select("source_id", F.length("payload").alias("chars"), F.size("required").alias("n_required"))
 
 
 @query()
 def posting_pipeline(spark, d):
     """Synthetic postings through the whole plan: scrub, hash, flatten, contract, keep-last."""
-    p = synthetic.postings(spark, 2_500)
+    p = postings(spark, d)
     rows = raw.documents(p.select(F.col("idx").alias("id"), F.lit("sample").alias("source"), "source_id", F.lit("detail").alias("endpoint"), "payload", F.lit("2026-09-15 00:00:00").cast("timestamp").alias("fetched_at")))
     jobs = normalize.normalize(rows).jobs
     return jobs.select("source", "source_id", "company_name_normalized", "title", "exp_min", "salary_min", "education", "deadline")
@@ -522,7 +511,7 @@ def posting_pipeline(spark, d):
 @query()
 def extraction_precision_recall(spark, d):
     """Skills found in synthetic postings against those that were written into them."""
-    p = synthetic.postings(spark, 2_500)
-    known = dictionary.skills(spark, [(s, "tool", [], []) for s in synthetic.SKILLS])
+    p = postings(spark, d)
+    known = dictionary.skills(spark, [(s, "tool", [synthetic.ALIASES[s]] if s in synthetic.ALIASES else [], []) for s in synthetic.SKILLS])
     found = skills.match_words(p, "source_id", "payload", known).groupBy(F.col("source_id").alias("key")).agg(F.collect_set("skill").alias("skills"))
     return skills.precision_recall(found, p.select(F.col("source_id").alias("key"), F.array_union("required", "preferred").alias("skills")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import SparkSession
@@ -36,6 +38,24 @@ def session(settings: Settings | None = None) -> SparkSession:
     return (builder.master(settings.master) if settings.master else builder).getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """A new path in the folder that spark.checkpoint.dir names, which all executors share.
+
+    Where it is unset, a temporary folder serves if driver and executors are one process (tests); a cluster must name one.
+    """
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        found = context._jsc.sc().getCheckpointDir()
+        root = found.get() if found.isDefined() else None
+    if not root:
+        if not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='lodewell-')}"
+        context.setCheckpointDir(root)
+    return f"{root.rstrip('/')}/lodewell-{uuid.uuid4().hex}"
+
+
 def healthy(spark: SparkSession) -> dict[str, str]:
     """A liveness probe: status ok or degraded, and what answered."""
     try:

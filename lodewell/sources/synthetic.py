@@ -12,10 +12,14 @@ REGIONS = (("11000", "서울특별시", 55), ("41000", "경기도", 20), ("26000
 UNPAID = ("회사내규에 따름", "면접 후 결정", "협의 후 결정", "추후 협의")
 OPEN = ("상시채용", "채용시까지", "채용시 마감")
 SKILLS = ("Python", "Java", "JavaScript", "TypeScript", "Go", "Kotlin", "React", "Django", "MySQL", "PostgreSQL", "Redis", "Kafka", "Docker", "Kubernetes", "AWS", "Spark", "Airflow", "Git")
+#: Other spellings of skills, by canonical name.
+ALIASES = {"Python": "파이썬", "JavaScript": "js", "TypeScript": "ts", "Go": "golang", "Kotlin": "코틀린", "React": "react.js", "PostgreSQL": "postgres", "Kubernetes": "k8s", "Kafka": "apache kafka", "Spark": "apache spark"}
+#: Sentences that name a skill which the posting does not ask for; none of them is part of the truth.
+TRAPS = ("R&D 조직과 협업합니다", "C 레벨과 자주 소통합니다", "Go 사업부의 충원입니다", "Java 경험은 필수가 아닙니다", "Python 경험 무관")
 NOISE = ("<br>", "&nbsp;", "&amp;", "\n\n\n", "※")
 ROLES = ("백엔드", "프론트엔드", "풀스택", "모바일", "데이터엔지니어링", "데이터분석")
-#: Chances: no body, with requirements, with preferences, open-ended deadline, a typo in a skill.
-BARE, NEEDS, LIKES, OPEN_SHARE, TYPO = 0.07, 0.35, 0.8, 0.30, 0.02
+#: Chances: no body, with requirements, with preferences, open-ended deadline, a typo in a skill, another spelling, a trap.
+BARE, NEEDS, LIKES, OPEN_SHARE, TYPO, ALIAS, TRAP = 0.07, 0.35, 0.8, 0.30, 0.02, 0.20, 0.3
 EPOCH, COMPANIES, ID_PATTERN = "2026-09-15", 30, r"^SAMPLE-(\d{6})$"
 
 
@@ -47,6 +51,17 @@ def typo(word: Column, u: Column) -> Column:
     return F.when((F.length(word) >= 4) & word.rlike(r"^\p{ASCII}+$") & (at < F.length(word)), swapped).otherwise(word)
 
 
+def surface(skill: Column, u: Column) -> Column:
+    """A skill as a posting writes it: by another spelling with the chance ALIAS, if it has one."""
+    other = F.try_element_at(F.create_map(*[F.lit(x) for pair in ALIASES.items() for x in pair]), skill)
+    return F.when((u < ALIAS) & other.isNotNull(), other).otherwise(skill)
+
+
+def canonical(form: Column) -> Column:
+    """A spelling's canonical name; of an unknown one, itself."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for k, v in ALIASES.items() for x in (v, k)]), F.lower(form)), form)
+
+
 def has_final(word: Column) -> Column:
     """Whether a word ends in a final consonant: Hangul by its code point, a Latin letter unless a, e, i, o, u or y, digits always."""
     last = F.right(word, F.lit(1))
@@ -84,8 +99,10 @@ def postings(spark: SparkSession, total: int = 2_500, seed: int = 42) -> DataFra
     until = F.when(u("open") < OPEN_SHARE, pick(u("opened"), OPEN)).otherwise(F.date_format(day, "yyyy-MM-dd"))
     role = pick(u("role"), ROLES)
     shown = F.when(u("typo") < TYPO, typo(F.element_at("required", 1), u("at"))).otherwise(F.element_at("required", 1))
-    lines = F.array_join(F.transform("required", lambda s: F.concat(F.lit("- "), s, F.lit(" 기반 기능 설계 및 구현"))), "\n")
-    body = F.when(u("bare") < BARE, F.lit("")).otherwise(F.concat(with_particle(role, "을", "를"), F.lit(" 맡습니다. "), shown, pick(u("noise"), NOISE), lines))
+    chance = lambda s, salt: F.pmod(F.xxhash64(F.lit(seed).cast("long"), idx, s, F.lit(salt)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    lines = F.array_join(F.transform("required", lambda s: F.concat(F.lit("- "), surface(s, chance(s, "alias")), F.lit(" 기반 기능 설계 및 구현"))), "\n")
+    trap = F.when(u("trap") < TRAP, F.concat(F.lit("\n"), pick(u("which"), TRAPS))).otherwise(F.lit(""))
+    body = F.when(u("bare") < BARE, F.lit("")).otherwise(F.concat(with_particle(role, "을", "를"), F.lit(" 맡습니다. "), shown, pick(u("noise"), NOISE), lines, trap))
     region, industry = (weighted(u(k), tuple(range(len(v))), tuple(x[2] for x in v)) for k, v in (("region", REGIONS), ("industry", INDUSTRIES)))
     name_of = lambda table, i, k: F.element_at(F.array(*[F.lit(x[k]) for x in table]), i + 1)
     source_id = F.format_string("SAMPLE-%06d", idx)
@@ -112,3 +129,9 @@ def postings(spark: SparkSession, total: int = 2_500, seed: int = 42) -> DataFra
     payload = F.to_json(F.struct(source_id.alias("wantedAuthNo"), F.date_format(F.date_sub(F.lit(EPOCH).cast("date"), F.floor(u("reg") * 30).cast("int")), "yyyy-MM-dd").alias("regDt"), corp.alias("corpInfo"), wanted.alias("wantedInfo"), contact.alias("empchargeInfo")))
     # the truth: skills that can be found in the text or the keywords
     return base.select(idx.alias("idx"), source_id.alias("source_id"), payload.alias("payload"), F.slice("required", 1, 3).alias("required"), F.when((u("likes") < LIKES) & (F.size("preferred") > 0), F.slice("preferred", 1, 1)).otherwise(F.array().cast("array<string>")).alias("preferred"))
+
+
+def ground_truth(spark: SparkSession, total: int = 2_500, seed: int = 42, source_id: str | None = None) -> DataFrame:
+    """(source_id, required, preferred): the skills that were written into the postings, of one id if it is given. Only the columns that the truth needs are computed."""
+    truth = postings(spark, total, seed).select("source_id", "required", "preferred")
+    return truth if source_id is None else truth.where(F.col("source_id") == source_id)

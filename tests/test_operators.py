@@ -1,11 +1,13 @@
 """Merges, raw layer, constraints, skills and ranking."""
 
-from datetime import datetime
+import math
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from lodewell.operators import dedup, merge, quality, rank, raw, skills
+from lodewell.operators import dedup, load, merge, quality, rank, raw, skills, tables
+from lodewell.schemas import TABLES
 from lodewell.sources.dictionary import skills as dictionary
 
 
@@ -56,18 +58,66 @@ def test_pending_and_mark(spark):
     assert sorted(r.id for r in one.where("processed_at IS NOT NULL").collect()) == [1, 3]
 
 
-def test_run_log():
-    log = []
-    with raw.run_log("s", 1, log) as run:
-        run.fetched = 3
-    with pytest.raises(ValueError), raw.run_log("s", 2, log):
-        raise ValueError("x")
-    with pytest.raises(raw.BudgetExceeded):
-        raise raw.BudgetExceeded("s", 3, 3)
-    with raw.run_log("s", 3, log):
-        raise raw.BudgetExceeded("s", 3, 3)
-    assert [(r.status, r.errors, r.finished) for r in log] == [("success", 0, True), ("failed", 1, True), ("budget", 1, True)]
-    assert log[2].detail["limit"] == 3 and log[1].detail["type"] == "ValueError"
+def test_surrogate_ids_of_many_partitions(spark):
+    """More rows than one partition holds, whose counts and numbers are two executions."""
+    rows = spark.range(60_000).select(F.concat(F.lit("n"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("name"), F.lit("x" * 50).alias("v"), F.lit(None).cast("long").alias("id"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        got = merge.with_surrogate_ids(rows, "id", ["name"])
+        assert got.count() == 60_000 and got.where("id <> cast(substr(name, 2) AS long) + 1").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+
+
+JOB_ROWS = [("s", "1", "(주)가", "가", "it", "big", None, "t1", "d", "x", "dev", None, 1, 3, None, 30_000_000, None, "r", "11", "서울", None, None, "u", "p"), ("s", "2", "나", "나", "it", None, None, "t2", None, "x", "dev", None, None, None, None, None, None, "r", "11", "서울", None, None, "u", None), ("s", "3", None, "", None, None, None, "t3", None, "x", None, None, None, None, None, None, None, None, None, None, None, None, None, None)]
+JOB_SCHEMA = "source string, source_id string, company_name string, company_name_normalized string, industry_name string, size_category string, homepage string, title string, description string, sections string, job_category string, employment_type string, exp_min short, exp_max short, education string, salary_min long, salary_max long, salary_raw string, region_code string, region_name string, posted_at date, deadline date, url string, parse_flags string"
+
+
+def test_load_normalized(spark):
+    jobs = spark.createDataFrame(JOB_ROWS, JOB_SCHEMA)
+    companies = jobs.where("company_name_normalized <> ''").select("company_name", "company_name_normalized", "industry_name", "size_category", "homepage")
+    none = load.no_companies(jobs)
+    empty = load.job_rows(jobs, none).limit(0)
+    first = load.load_normalized(none, empty, jobs, companies)
+    assert first.result.first().asDict() == {"companies": 2, "inserted": 3, "updated": 0, "skipped": 0}
+    ids = {r.name_normalized: r.id for r in first.companies.collect()}
+    assert ids == {"가": 1, "나": 2} and {r.source_id: r.company_id for r in first.jobs.collect()} == {"1": 1, "2": 2, "3": None}
+    stored, known = first.jobs.drop("action"), first.companies
+    assert load.load_normalized(known, stored, jobs, companies).result.first().asDict() == {"companies": 2, "inserted": 0, "updated": 0, "skipped": 3}
+    changed = jobs.withColumns({"title": F.when(F.col("source_id") == "1", "new").otherwise(F.col("title")), "parse_flags": F.lit("other"), "company_name_normalized": F.when(F.col("source_id") == "2", "가").otherwise(F.col("company_name_normalized"))})
+    second = load.load_normalized(known, stored, changed, companies)
+    got = {r.source_id: (r.title, r.parse_flags, r.company_id, r.action) for r in second.jobs.collect()}
+    assert got == {"1": ("new", "p", 1, "update"), "2": ("t2", None, 2, "skip"), "3": ("t3", None, None, "skip")}
+
+
+def test_seed_skills(spark):
+    target = spark.createDataFrame([("Go", "tool", ["x"], None, False), ("C", "language", [], None, True)], "canonical_name string, category string, aliases array<string>, match_patterns array<string>, is_active boolean")
+    rows = spark.createDataFrame([("Go", "language", None, ["[Gg]o"]), ("Rust", "language", ["rs"], None)], "name string, category string, aliases array<string>, match_patterns array<string>")
+    got = {r.canonical_name: (r.category, r.aliases, r.is_active, r.action) for r in load.seed_skills(target, rows).collect()}
+    assert got == {"Go": ("language", [], True, "update"), "C": ("language", [], True, None), "Rust": ("language", ["rs"], True, "insert")}
+    with pytest.raises(ValueError, match="unknown_category: X"):
+        load.seed_skills(target, rows.unionByName(rows.limit(1).withColumns({"name": F.lit("X"), "category": F.lit("metal")})))
+
+
+def test_tables(spark, tmp_path):
+    tables.create_tables(spark, "made")
+    try:
+        assert {r.tableName for r in spark.sql("SHOW TABLES IN made").collect()} == set(TABLES) and spark.table("made.jobs").count() == 0
+        tables.create_tables(spark, "made")
+    finally:
+        tables.drop_tables(spark, "made")
+        spark.sql("DROP DATABASE made")
+    row = tables.with_defaults(spark.createDataFrame([(1, None)], "id long, status string"), "jobs", F.lit("2026-01-01").cast("timestamp")).first()
+    assert row.status is None and row.created_at == datetime(2026, 1, 1) and row.title is None
+    assert tables.with_defaults(spark.createDataFrame([("Go",)], "canonical_name string"), "skills").first().aliases == []
+    jobs = spark.createDataFrame([(1, "open", date(2026, 1, 1), "11", "dev", 1, 3), (2, "open", None, "11", "dev", None, None), (3, "closed", date(2026, 1, 1), "26", "ops", 5, None), (4, "open", date(2026, 3, 1), "11", "ops", 2, 8)], "id int, status string, deadline date, region_code string, job_category string, exp_min int, exp_max int")
+    today = F.lit("2026-02-01").cast("date")
+    assert {r.id: r.status for r in tables.expire(jobs, today).collect()} == {1: "expired", 2: "open", 3: "closed", 4: "open"}
+    find = lambda **k: sorted(r.id for r in tables.find_jobs(jobs, **k).collect())
+    assert find(status="open", until=today) == [2, 4] and find(region="11", category="dev") == [1, 2] and find(years=4) == [2, 4]
+    tables.write_layout(jobs, f"file://{tmp_path}/jobs")
+    back = spark.read.parquet(f"file://{tmp_path}/jobs").where("status = 'open' AND region_code = '11'")
+    assert back.count() == 3 and "PartitionFilters: [isnotnull(status" in back._jdf.queryExecution().toString()
 
 
 def test_constraints(spark):
@@ -91,7 +141,13 @@ def test_skill_matching(spark):
     assert {(r.id, r.skill, r.occurrences) for r in found.collect()} == {(1, "Go", 2), (2, "R", 1)}
     words = skills.match_words(texts, "id", "text", dictionary(spark, [("Node.js", "framework", ["node"], []), ("Python", "language", ["py"], [])]))
     assert {(r.id, r.skill, r.occurrences) for r in words.collect()} == {(2, "Node.js", 1), (2, "Python", 1)}
+    long = skills.match_words(spark.createDataFrame([(1, "Apache  Kafka; C# and machine learning. Machine"), (2, "")], "id int, text string"), "id", "text", dictionary(spark, [("Kafka", "tool", ["apache kafka"], []), ("C#", "language", [], []), ("ML", "domain", ["Machine Learning"], [])]))
+    assert {(r.id, r.skill, r.occurrences) for r in long.collect()} == {(1, "Kafka", 2), (1, "C#", 1), (1, "ML", 1)}
     j = skills.job_skills(found, words, "id")
+    assert {(r.confidence, r.extracted_by) for r in j.collect()} == {(1.0, "dict_v1")}
+    jobs = spark.createDataFrame([(1,), (2,)], "id int")
+    assert [r.id for r in skills.jobs_with(jobs, j, "id", "R").collect()] == [2] and skills.jobs_with(jobs, j, "id", "Python").count() == 0 and skills.jobs_with(jobs, j, "id", "Python", None).count() == 1
+    assert [r.name for r in skills.by_alias(dictionary(spark, [("Python", "language", ["Py"], [])]), "PY").collect()] == ["Python"]
     assert {(r.id, r.skill, r.is_required) for r in j.collect()} == {(1, "Go", True), (2, "R", True), (2, "Node.js", False), (2, "Python", False)}
 
 
@@ -101,6 +157,27 @@ def test_ranking(spark):
     assert m.ndcg == pytest.approx((1 + 2 / 2) / (2 + 1 / 1.584963), abs=1e-4) and m.recall == 1.0
     a = spark.createDataFrame([(0.9, 1), (0.8, 0), (0.7, 1), (0.1, 0)], "s double, y int")
     assert rank.auc(a, "s", "y").first().auc == 0.75
+    assert m.map == pytest.approx((1 + 2 / 3) / 2, abs=1e-4)
+    many = spark.range(3_000).select((F.col("id") % 700 / 7).alias("s"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    rows = [(r.s, r.y) for r in many.collect()]
+    pos, neg = [s for s, y in rows if y], [s for s, y in rows if not y]
+    assert rank.auc(many, "s", "y").first().auc == pytest.approx(sum((p > n) + (p == n) / 2 for p in pos for n in neg) / len(pos) / len(neg), abs=1e-6)
     f = spark.createDataFrame([(1, ["a", "b"], [], ["b", "c"])], "i int, r array<string>, p array<string>, h array<string>")
     r = f.select(*rank.match_features(F.col("r"), F.col("p"), F.col("h"))).first()
     assert (r.required_share, r.preferred_share, r.missing_required) == (0.5, 1.0, ["a"])
+
+
+def test_features_candidates_and_reasons(spark):
+    pair = spark.createDataFrame(
+        [(1, ["a", "b"], {"a": 0.5}, 2.0, "bachelor", ["11"], 40, [1.0, 0.0], "backend", ["a", "c"], [], {"a": 2.0, "c": 1.0}, 3, 5, "associate", "11", 50, [1.0, 0.0], "backend", 0, date(2026, 1, 11))],
+        "id int, held array<string>, levels map<string,double>, years double, profile_education string, wanted_regions array<string>, desired_salary int, profile_vector array<double>, wanted_title string, required array<string>, preferred array<string>, weights map<string,double>, exp_min int, exp_max int, education string, region_code string, salary_min int, job_vector array<double>, title string, views int, deadline date",
+    )
+    made = rank.features(F.lit("2026-01-01").cast("date"))
+    r = pair.select("id", *[v.alias(k) for k, v in made.items()]).first().asDict()
+    assert len(made) == 13 and r.pop("exp_fit") == pytest.approx(math.exp(-1 / 3))
+    assert r == {"id": 1, "skill_required_coverage": 0.5, "skill_preferred_coverage": 1.0, "skill_weighted_score": pytest.approx(1 / 3), "missing_required_count": 1, "exp_gap": -1.0, "education_fit": 1, "region_match": 1, "salary_gap_ratio": 0.25, "semantic_similarity": 1.0, "title_similarity": 1.0, "job_popularity": 0.0, "days_until_deadline": 10}
+    s = rank.weighted(pair.select("id", *[v.alias(k) for k, v in made.items()]), {"skill_required_coverage": 2.0, "salary_gap_ratio": 1.0}, "id").first()
+    assert s.score == 1.25 and [(x.feature, x.part) for x in s.reasons] == [("skill_required_coverage", 1.0), ("salary_gap_ratio", 0.25)]
+    jobs = spark.createDataFrame([(i, [float(i), 1.0], "11" if i % 2 else "26", "dev", 1, 9) for i in range(8)], "vec_id int, embedding array<double>, region_code string, job_category string, exp_min int, exp_max int")
+    near = rank.candidates(jobs, F.array(F.lit(1.0), F.lit(0.0)), regions=("11",), years=3, k=2)
+    assert [r.vec_id for r in near.collect()] == [7, 5]

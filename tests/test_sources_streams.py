@@ -7,11 +7,12 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from lodewell.operators.ingestion import RunTable, raw_rows, run_ingestion
 from lodewell.operators.raw import BudgetExceeded
 from lodewell.session import Settings, healthy
 from lodewell.sources import synthetic
-from lodewell.sources.dictionary import load_skills
-from lodewell.sources.paged import CallBudget, ListQuery, PagedSource, PageSource, has_next, plan_pages
+from lodewell.sources.dictionary import load_skills, load_vocabulary
+from lodewell.sources.paged import CallBudget, ListQuery, PagedSource, PageSource, RawDocument, fetch_detail, has_next, plan_pages
 from lodewell.streaming import ingest
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers do not import tests
@@ -111,3 +112,90 @@ def test_daily_budget(spark):
 
 def test_settings(spark):
     assert Settings(shuffle_partitions="12").conf()["spark.sql.shuffle.partitions"] == "12" and healthy(spark)["status"] == "ok"
+
+
+class Postings(Numbers):
+    """Lists with details; contact data in both."""
+
+    name = "made"
+
+    def page(self, number, size):
+        return [(i, '{"id":"%s","chargerEmail":"a@b"}' % i) for i, _ in super().page(number, size)]
+
+    def detail(self, source_id):
+        if source_id == "bad":
+            raise ValueError("no such page")
+        return '{"id":"%s","body":{"contactTelno":"1","text":"x"}}' % source_id if int(source_id) % 2 == 0 else None
+
+
+def test_detail_lookup(spark):
+    budget = CallBudget(2)
+    d = fetch_detail(Postings(9), "4", budget)
+    assert d == RawDocument("made", "4", "detail", {"id": "4", "body": {"text": "x"}}) and len(d.content_hash) == 64
+    assert fetch_detail(Postings(9), "3", budget) is None and budget.used("made") == 2
+    with pytest.raises(BudgetExceeded):
+        fetch_detail(Postings(9), "4", budget)
+    PagedSource.register(spark, "made", lambda options: Postings(250))
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        one = spark.read.format("made").option("lookups", "true").load().where("source_id = '4'")
+        assert [r.source_id for r in one.collect()] == ["4"] and one.rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_query_options():
+    q = ListQuery.of({"pageSize": "50", "categories": "a, b", "publishedFrom": "2026-01-02"})
+    assert (q.page_size, q.job_categories, q.published_from.day, q.regions) == (50, ("a", "b"), 2, ())
+
+
+def test_ingestion_runs(spark, tmp_path):
+    runs, path = RunTable(spark, f"file://{tmp_path}/runs"), f"file://{tmp_path}/raw"
+    assert runs.latest().count() == 0
+    first = run_ingestion(spark, Postings(50), ListQuery(page_size=20), runs, path, batch_size=80)
+    assert (first.fetched, first.inserted, first.duplicates, first.api_calls) == (75, 75, 0, 53)
+    stored = raw_rows(spark, path)
+    assert stored.count() == 75 and stored.where("payload LIKE '%chargerEmail%' OR payload LIKE '%contactTelno%'").count() == 0
+    assert {r.flush for r in stored.select("flush").distinct().collect()} == {0, 1}
+    again = run_ingestion(spark, Postings(50), ListQuery(page_size=20), runs, path, batch_size=80)
+    assert (again.fetched, again.inserted, again.duplicates) == (75, 0, 75) and raw_rows(spark, path).count() == 75
+    with pytest.raises(BudgetExceeded):
+        run_ingestion(spark, Postings(90), ListQuery(page_size=20), runs, path, budget=CallBudget(50), batch_size=40)
+    assert raw_rows(spark, path).count() == 75  # the flushes before the end stay, and bring nothing new
+    with pytest.raises(ZeroDivisionError), runs.run("made") as handle:
+        handle.fetched = 1 // 0
+    states = {r.id: r for r in runs.rows().collect()}
+    assert [states[i].status for i in (1, 2, 3, 4)] == ["success", "success", "budget", "failed"]
+    assert states[3].fetched_count == 60 and '"limit": 50' in states[3].error_detail and states[4].error_count == 1
+    assert all(s.finished_at is not None for s in states.values()) and runs.latest("made").first().id == 4
+
+
+def test_vocabulary(spark, tmp_path):
+    pytest.importorskip("yaml")
+    path = tmp_path / "vocabulary.yaml"
+    path.write_text("roles:\n  - {name: 백엔드, weight: 3}\n  - 모바일\nnote: none\n")
+    lists = load_vocabulary(spark, str(path))
+    assert {k: [(r.value, r.weight) for r in v.collect()] for k, v in lists.items()} == {"roles": [("백엔드", 3.0), ("모바일", 1.0)]}
+
+
+def test_spellings_and_truth(spark):
+    s = spark.createDataFrame([("Python",), ("Git",)], "s string")
+    assert [tuple(r) for r in s.select(synthetic.surface(F.col("s"), F.lit(0.1)), synthetic.surface(F.col("s"), F.lit(0.5)), synthetic.canonical(synthetic.surface(F.col("s"), F.lit(0.1)))).collect()] == [("파이썬", "Python", "Python"), ("Git", "Git", "Git")]
+    truth = synthetic.ground_truth(spark, 50, source_id="SAMPLE-000007").collect()
+    assert len(truth) == 1 and set(truth[0].required) <= set(synthetic.SKILLS)
+
+
+def test_batches_of_files(spark, tmp_path):
+    spark.range(6).repartition(6).write.parquet(f"file://{tmp_path}/in")
+    sizes = []
+    ingest.run_available(ingest.stream(spark, f"file://{tmp_path}/in", "id long", max_files=2), f"file://{tmp_path}/c", lambda b, i: sizes.append(b.count()))
+    assert len(sizes) >= 3 and sum(sizes) == 6
+
+
+def test_tumbling_counts(spark, tmp_path):
+    spark.createDataFrame([("s", datetime(2026, 1, 1, h)) for h in (1, 5)] + [("s", datetime(2026, 1, 9))], "source string, ts timestamp").write.parquet(f"file://{tmp_path}/in")
+    got = []
+    counts = ingest.tumbling_counts(ingest.stream(spark, f"file://{tmp_path}/in", "source string, ts timestamp"), "source", "ts")
+    q = counts.writeStream.outputMode("complete").foreachBatch(lambda b, i: got.append({(r.source, r.window.start.day): r.asked for r in b.collect()})).option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert got[-1] == {("s", 1): 2, ("s", 9): 1}
