@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,11 +75,3 @@ def write_snapshot(df: DataFrame, root: str, version: int) -> str:
 def delete_where(df: DataFrame, predicate) -> DataFrame:
     """The rows that a delete leaves: those for which the predicate is not true."""
     return df.where(~F.coalesce(predicate, F.lit(False)))
-
-
-def in_batches(df: DataFrame, apply: Callable[[DataFrame, int], None], size: int, key: str) -> int:
-    """Calls apply with slices of about `size` rows, by the key's hash; for sinks that take no more at once."""
-    n = max(1, -(-df.count() // size))
-    for i in range(n):
-        apply(df.where(F.pmod(F.xxhash64(key), F.lit(n)) == i), i)
-    return n

@@ -475,7 +475,7 @@ def chunk_windows(spark, d):
 
 @query("SELECT event_type AS source, CAST(ts AS DATE) AS day, count(*) AS asked, least(count(*), 50) AS allowed, greatest(count(*) - 50, 0) AS refused FROM events GROUP BY ALL")
 def daily_budget(spark, d):
-    return ingest.daily_budget(t(spark, d, "events"), "event_type", "ts", ["ts", "event_id"], 50)
+    return ingest.daily_budget(t(spark, d, "events"), "event_type", "ts", 50)
 
 
 @query("SELECT user_id, event_type, CAST(1 AS BIGINT) AS n FROM events GROUP BY user_id, event_type")

@@ -24,8 +24,9 @@ def run_available(df: DataFrame, checkpoint: str, batch: Callable[[DataFrame, in
 def append_new(target: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
     """A batch function that appends the first row of each key that the target lacks.
 
-    Each micro-batch overwrites the folder of its own id, and anti-joins the folders of all others: a batch that
-    runs again after a failure gives the same result.
+    Each micro-batch overwrites the folder of its own id, and anti-joins the key columns (and no others) of the
+    folders of all others: a batch that runs again after a failure gives the same result. Where lateness is bounded,
+    distinct_stream() keeps its state instead and reads nothing again.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -37,8 +38,8 @@ def append_new(target: str, keys: list[str], order: list[str]) -> Callable[[Data
             names = [s.getPath().getName() for s in fs.listStatus(root)]
             others = [f"{target}/{n}" for n in names if n.startswith("batch=") and n != f"batch={batch_id}"]
             if others:
-                seen = spark.read.schema(batch.schema).parquet(*others)
-        new = insert_ignore(seen if seen is not None else batch.limit(0), batch, keys, order)
+                seen = spark.read.schema(batch.select(*keys).schema).parquet(*others)
+        new = insert_ignore(seen if seen is not None else batch.select(*keys).limit(0), batch, keys, order)
         new.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     return write
@@ -49,7 +50,7 @@ def distinct_stream(df: DataFrame, keys: list[str], time: str, delay: str = "1 d
     return df.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def daily_budget(calls: DataFrame, source: str, time: str, order: list[str], limit: int) -> DataFrame:
+def daily_budget(calls: DataFrame, source: str, time: str, limit: int) -> DataFrame:
     """For each source and UTC day: calls asked for, allowed and refused under a daily limit.
 
     Every call costs one, so what a running count allows is the smaller of the count and the limit: no window over a day's calls is needed.

@@ -18,6 +18,13 @@ def test_merge_actions(spark):
     assert got == {1: ("x", "keep", "skip"), 2: (None, "keep", "update"), 3: ("z", "keep", None), 4: ("w", None, "insert")}
 
 
+def test_snapshots_are_never_overwritten(spark, tmp_path):
+    path = merge.write_snapshot(spark.range(3), f"file://{tmp_path}", 1)
+    assert spark.read.parquet(path).count() == 3
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        merge.write_snapshot(spark.range(4), f"file://{tmp_path}", 1)
+
+
 def test_merge_is_idempotent(spark):
     source = spark.range(600).select("id", F.sha2(F.col("id").cast("string"), 256).alias("h"))
     first = merge.merge(source.limit(0), source, ["id"], hash_column="h")

@@ -104,7 +104,7 @@ def test_distinct_stream(spark, tmp_path):
 
 def test_daily_budget(spark):
     calls = spark.createDataFrame([(i, "s", datetime(2026, 1, 1 + i // 4), c) for i, c in enumerate([2, 2, 1, 1, 3, 1])], "i int, source string, ts timestamp, cost int")
-    by = {r.day.day: (r.asked, r.allowed, r.refused) for r in ingest.daily_budget(calls, "source", "ts", ["i"], 3).collect()}
+    by = {r.day.day: (r.asked, r.allowed, r.refused) for r in ingest.daily_budget(calls, "source", "ts", 3).collect()}
     assert by == {1: (4, 3, 1), 2: (2, 2, 0)}
     ok = {r.i: r.allowed for r in ingest.allowed_calls(calls, "source", "ts", ["i"], "cost", 3).collect()}
     assert ok == {0: True, 1: False, 2: True, 3: False, 4: True, 5: False}
