@@ -10,6 +10,7 @@ each document.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ from pyspark.sql import DataFrame
 from lodewell.llm.common import binary, mix64
 
 RUN, BUCKET_PLACES = 1 << 21, 1 << 21
+#: Buckets that a task packs for directly, at most. More of them are reached in two steps, so that packed rows stay large however many tasks and buckets there are.
+LEVEL = 1_024
 KNOWN, ASKED = 0, 1
 #: Places of one document: first its two keys, then the positions and the keys found there.
 Places = Iterator[tuple[int, int, np.ndarray, np.ndarray]]
@@ -40,6 +43,53 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+@dataclass(frozen=True)
+class Format:
+    """How packed arrays of a kind become columns of entries and back, and the bucket of each entry."""
+
+    open: Callable[[int, list[np.ndarray]], list[np.ndarray]]
+    close: Callable[[int, list[np.ndarray]], list[np.ndarray]]
+    bucket: Callable[[int, list[np.ndarray]], np.ndarray]
+
+
+def width(buckets: int) -> int:
+    """Neighbouring buckets that a sender packs as one."""
+    return -(-buckets // LEVEL)
+
+
+def dealt(sent: DataFrame, buckets: int, form: Format) -> DataFrame:
+    """Rows (bucket, kind, packed), packed by bucket // width(buckets), by buckets: in one shuffle, or in two where the width is not 1. Between them a task packs runs of RUN entries anew."""
+    step = width(buckets)
+    if step == 1:
+        return sent.repartitionById(buckets, "bucket")
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[list[np.ndarray]]] = {}
+        size: dict[int, int] = {}
+
+        def flush(kind: int) -> pa.RecordBatch:
+            columns = [np.concatenate(x) for x in zip(*held.pop(kind), strict=True)]
+            size.pop(kind)
+            bucket = form.bucket(kind, columns)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.flatnonzero(np.diff(bucket[order], prepend=-1)).tolist()
+            rows = [(int(bucket[order[x]]), pack(form.close(kind, [c[order[x:y]] for c in columns]))) for x, y in zip(edges, [*edges[1:], len(order)][: len(edges)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([kind] * len(rows), pa.int32()), binary([r[1] for r in rows])], names=["bucket", "kind", "packed"])
+
+        for batch in batches:
+            for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                columns = form.open(kind, unpack(blob))
+                held.setdefault(kind, []).append(columns)
+                size[kind] = size.get(kind, 0) + len(columns[0])
+                if size[kind] >= RUN:
+                    yield flush(kind)
+        for kind in list(held):
+            yield flush(kind)
+
+    near = sent.repartitionById(-(-buckets // step), "bucket").mapInArrow(again, "bucket int, kind int, packed binary")
+    return near.repartitionById(buckets, "bucket")
+
+
 def same_as_before(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order by key, whether each in that order has the key of the one before)."""
     order = np.lexsort(keys.T) if keys.shape[1] > 1 else np.argsort(keys[:, 0], kind="stable")
@@ -57,11 +107,38 @@ def by_document(doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return doc[first], np.diff(np.append(first, len(doc))), pos
 
 
+def home_of(b: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket that gathers a document's places."""
+    return ((mix64(b.view(np.uint64)) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+
+
+def meeting(key: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket where places of equal keys meet."""
+    return ((key >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+
+
+def places_format(buckets: int) -> Format:
+    """Places of documents: ids, places of each document, and columns of the places."""
+
+    def opened(kind: int, arrays: list[np.ndarray]) -> list[np.ndarray]:
+        a, b, n, *rest = arrays
+        return [np.repeat(a, n), np.repeat(b, n), *rest]
+
+    def closed(kind: int, columns: list[np.ndarray]) -> list[np.ndarray]:
+        a, b, *rest = columns
+        order = np.lexsort((rest[0], b, a))
+        a, b = a[order], b[order]
+        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        return [a[first], b[first], np.diff(np.append(first, len(a))).astype(np.int32), *[c[order] for c in rest]]
+
+    return Format(opened, closed, lambda kind, c: home_of(c[1], buckets) if kind == KNOWN else meeting(c[4], buckets))
+
+
 class Run:
     """Places gathered by one task until they are sent."""
 
-    def __init__(self, buckets: int):
-        self.buckets, self.size = buckets, 0
+    def __init__(self, buckets: int, step: int = 1):
+        self.buckets, self.step, self.size = buckets, step, 0
         self.clear()
 
     def clear(self) -> None:
@@ -87,20 +164,20 @@ class Run:
         out: list[tuple[int, int, bytes]] = []
         if again.any():
             known = order[again]
-            for bucket, part in self.split((mix64(ids[doc[known], 1].view(np.uint64)) >> np.uint64(33)).astype(np.int64), known):
+            for bucket, part in self.split(home_of(ids[doc[known], 1], self.buckets), known):
                 d, n, p = by_document(doc[part], pos[part])
                 out.append((bucket, KNOWN, pack([ids[d, 0], ids[d, 1], n.astype(np.int32), p])))
         alone = np.zeros(len(doc), bool)
         alone[order[~again]] = True
-        for bucket, part in self.split((keys[first, 0] >> np.uint64(33)).astype(np.int64), first):
+        for bucket, part in self.split(meeting(keys[first, 0], self.buckets), first):
             part = np.sort(part)  # by document and position again: these compress
             d, n = np.unique(doc[part], return_counts=True)
             out.append((bucket, ASKED, pack([ids[d, 0], ids[d, 1], n.astype(np.int32), pos[part], alone[part], *keys[part].T])))
         self.clear()
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), binary([x[2] for x in out])], names=["bucket", "kind", "packed"])
 
-    def split(self, hashes: np.ndarray, what: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        bucket = hashes % self.buckets
+    def split(self, bucket: np.ndarray, what: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        bucket = bucket // self.step
         order = np.argsort(bucket, kind="stable")
         ends = np.flatnonzero(np.diff(bucket[order], append=-1)) + 1
         at = 0
@@ -109,10 +186,10 @@ class Run:
             at = end
 
 
-def homeward(ids: list[np.ndarray], counts: np.ndarray, pos: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Places of whole documents, packed by the bucket that gathers a document's places."""
+def homeward(ids: list[np.ndarray], counts: np.ndarray, pos: np.ndarray, buckets: int, step: int = 1) -> pa.RecordBatch:
+    """Places of whole documents, packed by the bucket (of `step` neighbours) that gathers a document's places."""
     a, b = ids
-    home = ((mix64(b.view(np.uint64)) >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
+    home = home_of(b, buckets) // step
     order = np.argsort(home, kind="stable")
     starts = np.cumsum(counts) - counts
     rows = []
@@ -122,12 +199,12 @@ def homeward(ids: list[np.ndarray], counts: np.ndarray, pos: np.ndarray, buckets
         n = counts[docs]
         at = np.repeat(starts[docs] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         rows.append((int(home[docs[0]]), pack([a[docs], b[docs], n.astype(np.int32), pos[at].astype(np.int32)])))
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), binary([r[1] for r in rows])], names=["bucket", "packed"])
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([KNOWN] * len(rows), pa.int32()), binary([r[1] for r in rows])], names=["bucket", "kind", "packed"])
 
 
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, with all its places."""
-    parts = [unpack(blob) for batch in batches for blob in batch.column(1).to_pylist()]
+    parts = [unpack(blob) for batch in batches for blob in batch.column(2).to_pylist()]
     if not parts:
         return
     a, b, n, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -149,9 +226,10 @@ def repeated(rows: DataFrame, places: Callable[[pa.RecordBatch], Places], expect
     """
     spark = rows.sparkSession
     buckets = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(expected // BUCKET_PLACES, 1 << 20), 1))
+    step, form = width(buckets), places_format(buckets)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        run = Run(buckets)
+        run = Run(buckets, step)
         for batch in batches:
             for a, b, pos, keys in places(batch):
                 if len(pos):
@@ -168,7 +246,7 @@ def repeated(rows: DataFrame, places: Callable[[pa.RecordBatch], Places], expect
                 got = unpack(blob)
                 if kind == KNOWN:
                     a, b, n, pos = got
-                    yield homeward([a, b], n.astype(np.int64), pos, buckets)
+                    yield homeward([a, b], n.astype(np.int64), pos, buckets, step)
                 else:
                     a, b, n, *rest = got
                     asked.append([np.repeat(a, n), np.repeat(b, n), *rest])
@@ -186,8 +264,8 @@ def repeated(rows: DataFrame, places: Callable[[pa.RecordBatch], Places], expect
             found = found[np.lexsort((pos[found], b[found], a[found]))]
             a, b, pos = a[found], b[found], pos[found]
             first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-            yield homeward([a[first], b[first]], np.diff(np.append(first, len(a))), pos, buckets)
+            yield homeward([a[first], b[first]], np.diff(np.append(first, len(a))), pos, buckets, step)
 
     sent = rows.mapInArrow(send, "bucket int, kind int, packed binary")
-    met = sent.repartitionById(buckets, "bucket").mapInArrow(meet, "bucket int, packed binary")
-    return met.repartitionById(buckets, "bucket").mapInArrow(gathered, "__lw_a long, __lw_b long, positions binary")
+    met = dealt(sent, buckets, form).mapInArrow(meet, "bucket int, kind int, packed binary")
+    return dealt(met, buckets, form).mapInArrow(gathered, "__lw_a long, __lw_b long, positions binary")
