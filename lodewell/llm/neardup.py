@@ -5,9 +5,8 @@ smallest hash that falls in each; an empty bin takes the value of the first fill
 order, so that bins of similar sets stay equal with the sets' Jaccard similarity. ROWS bins make a band: at a
 similarity of 0.8 a pair misses all BANDS with probability (1 - 0.8^8)^64 < 1e-5, far below that above it.
 
-Classes that share a band form a bucket. Its smallest class is the centre of a star; only edges to centres are
-candidates, so a bucket of n has n - 1 of them, and the stars' components (clusters) hold every pair that shares a
-band. A task takes the full shingle sets of a cluster, counts all intersections exactly and returns a spanning
+Classes that share a band form a bucket, a star whose centre is the band: its candidate edges are as many as its
+members, and the stars' components (clusters) hold every pair that shares a band. A task takes the full shingle sets of a cluster, counts all intersections exactly and returns a spanning
 forest of the links. A cluster of many members or shingles is cut: into all pairs of its chunks or into its
 buckets (and those into pairs of chunks), whichever ships fewer sets; either way every two classes that share a
 band meet in some task, no set is compared by estimate, and no pair is lost.
@@ -123,35 +122,35 @@ def band_places(batch: pa.RecordBatch) -> Places:
 
 
 def bucket_rows(shared: DataFrame, classes: DataFrame) -> DataFrame:
-    """(bucket, node, n) for the bands that classes share: packed positions joined to the classes' band keys."""
+    """(bucket, node) for the bands that classes share: packed positions joined to the classes' band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, keys = [], []
-            for bands, found in zip(*(batch.column(i).to_pylist() for i in (2, 3)), strict=True):
+            for bands, found in zip(*(batch.column(i).to_pylist() for i in (1, 2)), strict=True):
                 at = np.frombuffer(found, "<i4")
                 counts.append(len(at))
                 keys.append(np.frombuffer(bands, np.int64)[at])
             if counts:
                 back = pa.array(np.repeat(np.arange(len(counts)), counts))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch.column(0).take(back), batch.column(1).take(back)], names=["bucket", "node", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch.column(0).take(back)], names=["bucket", "node"])
 
     lists = shared.select(F.col("__lw_a").alias("s"), F.col("__lw_b").alias("t"), "positions")
-    return classes.join(lists, ["s", "t"]).select(node().alias("node"), "n", "bands", "positions").mapInArrow(run, "bucket long, node string, n long")
+    return classes.join(lists, ["s", "t"]).select(node().alias("node"), "bands", "positions").mapInArrow(run, "bucket long, node string")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, shingles) of the wanted nodes, from the text of the row (a, b) that stands for each."""
+    """(node, cluster, n, shingles) of the wanted (node, cluster, n, a, b), from the text of the row (a, b) that stands for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.column(0)
-            for first, texts in chunks(batch.column(1).cast(pa.binary()).to_pylist()):
-                yield pa.RecordBatch.from_arrays([names.slice(first, len(texts)), binary([s.tobytes() for s in shingle_sets(texts, size)])], names=["node", "shingles"])
+            for first, texts in chunks(batch.column(3).cast(pa.binary()).to_pylist()):
+                part = batch.slice(first, len(texts))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], binary([s.tobytes() for s in shingle_sets(texts, size)])], names=["node", "cluster", "n", "shingles"])
 
     rows = keyed(docs).select(F.col("__lw_a").alias("a"), F.col("__lw_b").alias("b"), F.col("text").cast("string").alias("text"))
-    picked = rows.join(wanted.select("node", "a", "b"), ["a", "b"]).dropDuplicates(["a", "b", "node"]).select("node", "text")
-    return picked.mapInArrow(run, "node string, shingles binary")
+    picked = rows.join(wanted, ["a", "b"]).dropDuplicates(["a", "b", "node"]).select("node", "cluster", "n", "text")
+    return picked.mapInArrow(run, "node string, cluster string, n long, shingles binary")
 
 
 def cuts(members: str, shingles: str) -> Column:
@@ -160,17 +159,17 @@ def cuts(members: str, shingles: str) -> Column:
     return F.when((F.col(members) <= GROUP_MEMBERS) & ((F.col(shingles) <= GROUP_SHINGLES) | (F.col(members) <= 2)), F.lit(1)).otherwise(F.least(many, F.col(members))).cast("int")
 
 
-def groups(rows: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(part, node): the tasks' groups. Rows (bucket, node, n) of clusters that fit one task are one group each; others are cut."""
-    members = clusters.join(rows.groupBy("node").agg(F.first("n").alias("n")), "node")
+def groups(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """(part, node): the tasks' groups of clusters that do not fit one task; members (node, cluster, n) are theirs, rows (bucket, node) any.
+
+    A cluster is cut into all pairs of its chunks or into its buckets (in pairs of chunks where need be), whichever ships fewer sets.
+    """
     whole = members.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("total")).withColumn("cut", cuts("m", "total"))
-    buckets = rows.join(members.select("node", "cluster").join(whole.where("cut > 1").select("cluster"), "cluster"), "node")
+    each = rows.join(members, "node").groupBy("cluster", "bucket").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"))
     # buckets of the same members are one
-    each = buckets.groupBy("cluster", "bucket").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("same"))
     one = each.groupBy("cluster", "m", "total", "same").agg(F.min("bucket").alias("bucket")).withColumn("cut", cuts("m", "total"))
-    by_bucket = one.groupBy("cluster").agg(F.sum(F.col("m") * F.col("cut")).alias("ships"))
-    sized = whole.join(by_bucket, "cluster", "left").withColumn("by_bucket", F.coalesce((F.col("cut") > 1) & (F.col("ships") < F.col("m") * F.col("cut")), F.lit(False)))
-    sized = stored(sized.select("cluster", "cut", "by_bucket"))
+    by_bucket = one.groupBy("cluster").agg(F.sum(F.col("m") * F.greatest(F.lit(1), F.col("cut") - 1)).alias("ships"))
+    sized = stored(whole.join(by_bucket, "cluster").select("cluster", "cut", (F.col("ships") < F.col("m") * (F.col("cut") - 1)).alias("by_bucket")))
 
     def parts(df: DataFrame, name: Column) -> DataFrame:
         chunk = F.pmod(F.xxhash64("node", F.lit(8)), F.col("cut")).cast("int")
@@ -226,8 +225,8 @@ def forest(sets: list[np.ndarray], similar: int) -> np.ndarray:
         label = new
 
 
-def linked_in(parts: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
-    """(u, v): a spanning forest of the links in each group, u the first member that v is connected to there."""
+def linked_in(parts: DataFrame, similar: int) -> DataFrame:
+    """(u, v): a spanning forest of the links in each group (part, node, shingles), u the first member that v is connected to there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, names, held = None, [], []
@@ -248,10 +247,8 @@ def linked_in(parts: DataFrame, sets: DataFrame, similar: int) -> DataFrame:
                 held.append(np.frombuffer(s, np.uint64))
         yield from close()
 
-    spark = sets.sparkSession
-    together = parts.join(sets, "node").select("part", "node", "shingles")
-    dealt = together.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part").sortWithinPartitions("part", "node")
-    return dealt.mapInArrow(run, "u string, v string")
+    partitions = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return parts.repartition(partitions, "part").sortWithinPartitions("part", "node").mapInArrow(run, "u string, v string")
 
 
 def links(docs: DataFrame, classes: DataFrame, size: int, similar: int) -> DataFrame | None:
@@ -262,12 +259,20 @@ def links(docs: DataFrame, classes: DataFrame, size: int, similar: int) -> DataF
     release(spark)
     if not rows.limit(1).count():
         return None
-    stars = rows.join(rows.groupBy("bucket").agg(F.min("node").alias("v")), "bucket").where("node <> v").select(F.col("node").alias("u"), "v").distinct()
-    clusters = components(stars).withColumnRenamed("label", "cluster")
-    wanted = classes.select(node().alias("node"), "a", "b").join(clusters.select("node"), "node")
+    # a bucket's name sorts after those of classes, so that a cluster has a class's name
+    clusters = components(rows.select("node", F.concat(F.lit("~"), F.hex("bucket"))).toDF("u", "v")).where("NOT startswith(node, '~')")
+    wanted = classes.select(node().alias("node"), "a", "b", "n").join(clusters.withColumnRenamed("label", "cluster"), "node")
     sets = stored(full_sets(docs, wanted, size))
     release(spark)
-    found = stored(linked_in(groups(rows, clusters), sets, similar))
+    large = stored(sets.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("total")).where(cuts("m", "total") > 1).select("cluster"))
+    if large.limit(1).count():
+        members = stored(sets.select("node", "cluster", "n").join(large, "cluster"))
+        cut = groups(rows, members).join(sets.select("node", "shingles"), "node").select("part", "node", "shingles")
+        small = sets.join(large, "cluster", "left_anti")
+    else:
+        cut, small = None, sets
+    parts = small.select(F.col("cluster").alias("part"), "node", "shingles")
+    found = stored(linked_in(parts if cut is None else parts.unionByName(cut), similar))
     drop(rows, sets)
     release(spark)
     return found

@@ -72,7 +72,8 @@ def exact(vectors, queries, k):
 
 
 def test_top_k_ties_and_bad_vectors(spark, monkeypatch):
-    monkeypatch.setattr(topk, "CELL_ROWS", 16)
+    monkeypatch.setattr(topk, "GROUP_ROWS", 16)
+    monkeypatch.setattr(topk, "BLOCK_QUERIES", 4)
     rng = random.Random(1)
     rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(150)]
     rows += [(i, [0.5] * 8) for i in range(150, 260)]  # one vector many times
@@ -97,10 +98,27 @@ def test_bounds_hold():
     near_, far = d.argmin(1), d.min(1)
     for p in range(5):
         m = near_ == p
-        r = topk.Rings(pivots, np.array([0]), np.array([p]), np.array([far[m].min()]), np.array([far[m].max()]), np.array([np.linalg.norm(x[m], axis=1).max()]), np.array([m.sum()]))
+        r = topk.Rings(pivots, np.array([p * topk.RINGS]), np.array([far[m].min()]), np.array([far[m].max()]), np.array([np.linalg.norm(x[m], axis=1).max()]), np.array([m.sum()]))
         assert ((x @ x[m].T).max(1) <= r.bounds(x)[:, 0]).all()
 
 
+def test_bounds_stop_the_search(monkeypatch):
+    """Of vectors in tight clusters, a query reads its own cluster's groups and few others."""
+    monkeypatch.setattr(topk, "GROUP_ROWS", 50)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(20, 8)) * 10
+    x = np.repeat(centres, 50, 0) + rng.normal(size=(1_000, 8)) * 0.1
+    pivots = topk.fit_pivots(x, len(x))
+    d = topk.distances(x, pivots)
+    ring = d.argmin(1) * topk.RINGS
+    kinds = np.unique(ring)
+    by = lambda f, v: np.array([f(v[ring == k]) for k in kinds])
+    r = topk.Rings(pivots, kinds, by(np.min, d.min(1)), by(np.max, d.min(1)), by(np.max, np.linalg.norm(x, axis=1)), by(len, x))
+    kth = np.sort(x[:40] @ x.T, 1)[:, -10]
+    early, late = (len(r.reads(x[:40], t, 10)[0]) / 40 / len(r.first) for t in (None, kth))
+    assert early + late < 0.4
+
+
 # Mixing
 
 
@@ -221,6 +239,19 @@ def test_language_of_messy_rows(messy, empty, documents):
 # Substrings
 
 
+@pytest.mark.parametrize("level", [2])
+def test_packed_rows_in_two_steps(spark, messy, monkeypatch, level):
+    """As if there were far more buckets than a task packs for: substring windows and n-gram counts are the same."""
+    one = [(str(r["doc_id"]), r["__lw_removed"], r["__lw_kept"]) for r in substring.remove(messy, 5).collect()]
+    rows = messy.select("doc_id", "text", F.lit(False).alias("held"))
+    score = lambda: sorted((str(r.doc_id), r.n_known, round(r.score, 6)) for r in ngram_lm.scored(rows, ngram_lm.train(messy)).collect())
+    plain = score()
+    monkeypatch.setattr(repeats, "LEVEL", level)
+    assert repeats.width(4) == 2
+    assert sorted(one) == sorted((str(r["doc_id"]), r["__lw_removed"], r["__lw_kept"]) for r in substring.remove(messy, 5).collect())
+    assert plain == score()
+
+
 @pytest.mark.parametrize("window", [3, 10, 35, 50])
 def test_substrings_of_messy_rows(messy, empty, window):
     got = substring.remove(messy, window)
@@ -274,12 +305,12 @@ def test_lm_of_messy_rows(spark, messy, empty):
 def test_lm_probabilities_add_up(spark):
     model = ngram_lm.train(spark.createDataFrame([("a b a c a b",), ("b a b",), ("a b",)], "text string"))
     hashes, _ = ngram_lm.tokens(["a b c"])
-    ids, counts = model.vocabulary.find(hashes)
-    a = int(ids[0])
+    ids, counts = model.vocabulary.find(np.unique(hashes))
+    a = int(ids[np.searchsorted(np.unique(hashes), hashes[0])])
     level = model.level(2, int(ngram_lm.shard_of(np.array([a]), model.shards)[0]))
     seen = dict(level.successors(a))
     everything = np.arange(model.vocabulary.size)
-    weights, back, _ = level.weights(np.full(len(everything), a), everything)
+    back, weights, _ = level.weights(np.array([a]), np.zeros(len(everything), int), everything)
     assert {i for i in everything.tolist() if weights[i] > 0} == set(seen)
     assert weights.sum() + back[0] == pytest.approx(1, abs=1e-9)
 
@@ -289,7 +320,7 @@ def test_lm_keeps_triples_seen_once(spark):
     train = ["one x y p", "two x z q", "three w y r", "four w z s", "a b c d e f g", "b c x", "b c x", "c d x"]
     texts = ["one x y p", "a b c d e f g", "four w z s", "nothing known here", ""]
     model = ngram_lm.train(spark.createDataFrame([(t,) for t in train], "text string"))
-    want, n = lm(train, texts, least=1)
+    want, n = lm(train, texts)
     tokens, known, base, score = (x.tolist() for x in model.score(texts))
     assert model.vocabulary.tokens == n and list(zip(tokens, known, strict=True)) == [w[:2] for w in want]
     assert base == pytest.approx([w[2] for w in want], rel=1e-9) and score == pytest.approx([w[3] for w in want], abs=0.01)
@@ -344,17 +375,17 @@ def test_groups_hold_every_pair_of_a_bucket(spark, monkeypatch):
     """Clusters that are cut into pairs of chunks, and others that are cut into buckets (some of them cut again)."""
     monkeypatch.setattr(neardup, "GROUP_MEMBERS", 12)
     rng = random.Random(6)
-    rows = [(b, f"n{i:03d}", 10) for b in range(6) for i in rng.sample(range(40), 30)]  # buckets like the cluster
-    rows += [(100 + b, f"c{b + i:03d}", 10) for b in range(60) for i in range(4)]  # a long chain of small buckets
-    rows += [(200 + b, f"c{i:03d}", 10) for b in range(2) for i in range(14)]  # twice the same members
-    clusters = spark.createDataFrame([(x, x[0]) for x in sorted({r[1] for r in rows})], "node string, cluster string")
+    rows = [(b, f"n{i:03d}") for b in range(6) for i in rng.sample(range(40), 30)]  # buckets like the cluster
+    rows += [(100 + b, f"c{b + i:03d}") for b in range(60) for i in range(4)]  # a long chain of small buckets
+    rows += [(200 + b, f"c{i:03d}") for b in range(2) for i in range(14)]  # twice the same members
+    members = spark.createDataFrame([(x, x[0], 10) for x in sorted({r[1] for r in rows})], "node string, cluster string, n long")
     got, parts = set(), {}
-    for r in neardup.groups(spark.createDataFrame(rows, "bucket long, node string, n long"), clusters).collect():
+    for r in neardup.groups(spark.createDataFrame(rows, "bucket long, node string"), members).collect():
         parts.setdefault(r.part, set()).add(r.node)
     for part in parts.values():
         got |= {(a, b) for a in part for b in part}
     buckets = {}
-    for bucket, name, _ in rows:
+    for bucket, name in rows:
         buckets.setdefault(bucket, set()).add(name)
     assert all((a, b) in got for names in buckets.values() for a in names for b in names if a != b)
     assert sum(1 for p in parts if p.startswith("c/")) == 0 and any(p.startswith("n/") for p in parts)
@@ -396,7 +427,10 @@ def test_bins_agree_across_short_and_long_sets():
     assert sides == {True, False} and abs(np.mean(estimates)) < 0.02 and not missed
 
 
-def test_components(spark):
+@pytest.mark.parametrize("run", [1 << 20, 9, 30])
+def test_components(spark, monkeypatch, run):
+    """In one run, by rounds of labels, and by contraction in several steps."""
+    monkeypatch.setattr(components, "RUN_EDGES", run)
     edges = [("a", "b"), ("b", "c"), ("d", "e"), *[(f"n{i:02d}", f"n{i + 1:02d}") for i in range(40)]]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "u string, v string")).collect()}
     assert {got[x] for x in "abc"} == {"a"} and got["e"] == "d" and {got[f"n{i:02d}"] for i in range(41)} == {"n00"}
