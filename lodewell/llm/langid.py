@@ -2,7 +2,7 @@
 
 A text's features are relative frequencies of hashed character n-grams of its words. The classifiers are fitted
 on a bounded sample of labelled rows (SAMPLE_ROWS in expectation, the same number for every language that has
-them); predictions read every whole text. Training and prediction never see lang, source or doc_id as inputs.
+them; of the MOST_LANGS commonest languages); predictions read every whole text. Training and prediction never see lang, source or doc_id as inputs.
 """
 
 from __future__ import annotations
@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from lodewell.llm.common import chunks, crc_mod, table
 from lodewell.llm.ngrams import Words
 
-ORDERS, BUCKETS, SAMPLE_ROWS, STEPS, C = (1, 2, 3, 4), 1 << 13, 2_400, 200, 300.0
+ORDERS, BUCKETS, SAMPLE_ROWS, MOST_LANGS, STEPS, C = (1, 2, 3, 4), 1 << 13, 2_400, 200, 200, 300.0
+#: The value of the features' last column, which stands for the bias.
+BIAS = 0.3
 #: Language families by ISO 639-1 code. A code of no family is one of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is fo af fy lb yi",
@@ -52,11 +54,10 @@ def features(texts: list[str]) -> np.ndarray:
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights and a bias that minimise the squared hinge loss, y in {-1, 1}, classes weighing the same; accelerated gradient steps."""
-    x = np.concatenate([x, np.full((len(x), 1), 0.3, x.dtype)], 1)
+    """Weights (the last is the bias's) that minimise the squared hinge loss, y in {-1, 1}, classes weighing the same; accelerated gradient steps."""
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
     w = v = np.zeros(x.shape[1], np.float32)
-    rate = 1.0 / (1.0 / C + 2 * float((x * x).sum(1).max()))
+    rate = 1.0 / (1.0 / C + 2 * float(np.einsum("ij,ij->i", x, x).max()))
     for i in range(STEPS):
         slack = np.maximum(0, 1 - y * (x @ v))
         step = v - rate * (v / C - 2 * (x.T @ (share * y * slack)))
@@ -73,10 +74,15 @@ class Model:
     pairs: dict[str, list[tuple[str, str, int]]] = field(default_factory=dict)
     single: dict[str, str] = field(default_factory=dict)
 
+    @property
+    def languages(self) -> list[str]:
+        """All that can be predicted, but for `und`."""
+        return sorted({*self.single.values(), *(x for p in self.pairs.values() for a, b, _ in p for x in (a, b))})
+
     def margins(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Each text's margin for each classifier, and whether it has a letter."""
         words, k = Words(texts), self.weights.shape[1]
-        out = np.tile(0.3 * self.weights[-1], (len(texts), 1)).astype(np.float64)
+        out = np.tile(BIAS * self.weights[-1], (len(texts), 1)).astype(np.float64)
         for n in ORDERS:
             word, bucket = words.grams(n, BUCKETS)
             owner = words.owner[word]
@@ -89,31 +95,36 @@ class Model:
         if not self.families:
             return ["und"] * len(texts), [0.0] * len(texts)
         margins, has = self.margins(texts)
-        langs, scores = [], []
-        for row, ok in zip(margins, has, strict=True):
-            if not ok:
-                langs.append("und")
-                scores.append(0.0)
-                continue
-            name, sure = self.families[0][0], 1.0
-            if len(self.families) > 1:
-                m = np.array([row[k] for _, k in self.families])
-                e = np.exp(2 * (m - m.max()))
-                name, sure = self.families[int(m.argmax())][0], float(e.max() / e.sum())
+        score, choice = np.where(has, 1.0, 0.0), np.zeros(len(texts), np.int64)
+        if len(self.families) > 1:
+            m = margins[:, [k for _, k in self.families]]
+            e = np.exp(2 * (m - m.max(1, keepdims=True)))
+            choice, score = m.argmax(1), score * e.max(1) / e.sum(1)
+        langs = np.full(len(texts), "und", object)
+        for i, (name, _) in enumerate(self.families):
+            rows = np.flatnonzero(has & (choice == i))
             if name in self.single:
-                langs.append(self.single[name])
-            else:
-                votes: dict[str, list[float]] = {}
-                for a, b, k in self.pairs[name]:
-                    for lang, margin in ((a, row[k]), (b, -row[k])):
-                        v = votes.setdefault(lang, [0.0, 0.0])
-                        v[0] += margin > 0
-                        v[1] += margin
-                best = max(sorted(votes), key=lambda x: (votes[x][0], votes[x][1]))
-                langs.append(best)
-                sure *= min(1 / (1 + np.exp(-2 * abs(row[k]))) for a, b, k in self.pairs[name] if best in (a, b))
-            scores.append(float(sure))
-        return langs, scores
+                langs[rows] = self.single[name]
+            elif len(rows):
+                best, sure = self.within(name, margins[rows])
+                langs[rows] = best
+                score[rows] *= sure
+        return langs.tolist(), score.tolist()
+
+    def within(self, name: str, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The language of a family that wins most of its duels (then by the sum of its margins, then by name) in each row, and how sure its closest duel is."""
+        pairs = self.pairs[name]
+        members = sorted({x for a, b, _ in pairs for x in (a, b)})
+        won, total, close = (np.zeros((len(margins), len(members))) for _ in range(3))
+        close += np.inf
+        for a, b, k in pairs:
+            for lang, margin in ((members.index(a), margins[:, k]), (members.index(b), -margins[:, k])):
+                won[:, lang] += margin > 0
+                total[:, lang] += margin
+                close[:, lang] = np.minimum(close[:, lang], np.abs(margin))
+        lead = won == won.max(1, keepdims=True)
+        best = np.where(lead, total, -np.inf).argmax(1)
+        return np.array(members, object)[best], 1 / (1 + np.exp(-2 * close[np.arange(len(best)), best]))
 
 
 def train(langs: list[str], x: np.ndarray) -> Model:
@@ -139,23 +150,30 @@ def train(langs: list[str], x: np.ndarray) -> Model:
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on rows of docs that have a text and a lang; about rows / languages of each, by the hash of doc_id."""
+    """Fit on rows of docs that have a text and a lang (of the MOST_LANGS commonest ones); about rows / languages of each, by the hash of doc_id. Features travel to the driver as their non-zero places and values."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
+    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
     each = rows / max(1, len(counts))
     share = F.create_map(*[c for lang, n in counts.items() for c in (F.lit(lang), F.lit(min(1.0, each / n)))]) if counts else F.create_map(F.lit(""), F.lit(0.0))
     unit = F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    picked = labelled.where(unit < share[F.col("lang")]).select("lang", "text")
+    picked = labelled.where(unit < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0))).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = batch.column(0)
             for first, texts in chunks(batch.column(1).to_pylist(), 1 << 19):
-                yield pa.RecordBatch.from_arrays([langs.slice(first, len(texts)), pa.array([x.astype("<f4").tobytes() for x in features(texts)], pa.binary())], names=["lang", "x"])
+                x = features(texts)
+                at = [np.flatnonzero(row).astype("<u2") for row in x]
+                yield pa.RecordBatch.from_arrays([langs.slice(first, len(texts)), pa.array([i.tobytes() for i in at], pa.binary()), pa.array([row[i].astype("<f4").tobytes() for row, i in zip(x, at, strict=True)], pa.binary())], names=["lang", "places", "x"])
 
-    got = sorted((r.lang, bytes(r.x)) for r in picked.mapInArrow(run, "lang string, x binary").collect())
-    x = np.frombuffer(b"".join(b for _, b in got), "<f4").reshape(len(got), BUCKETS)
-    return train([a for a, _ in got], x)
+    got = sorted((r.lang, bytes(r.places), bytes(r.x)) for r in picked.mapInArrow(run, "lang string, places binary, x binary").toLocalIterator())
+    x = np.zeros((len(got), BUCKETS + 1), np.float32)
+    for row, (_, places, values) in zip(x, got, strict=True):
+        row[np.frombuffer(places, "<u2")] = np.frombuffer(values, "<f4")
+    x[:, -1] = BIAS
+    langs = [r[0] for r in got]
+    del got
+    return train(langs, x)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -186,6 +204,12 @@ def held_out() -> Column:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text of `documents`, learned from those that are not held out; see identify.
+
+    A null text, or one without a letter, is `und` with score 0, as is everything where no row can be learned from.
+    Rows of a null lang teach nothing; a null doc_id counts as remainder 0. Repeated rows are predicted alike. Other
+    columns are ignored; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(~held_out()))
     return identify(docs.select(F.col("doc_id").cast("long"), "text", held_out().alias("held_out")), model).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
