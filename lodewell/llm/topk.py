@@ -4,12 +4,13 @@ Every vector is keyed by its nearest pivot and its distance to it, so a pivot's
 sorted by distance. For a query q and a ring of pivot p with distances in [lo, hi] and norms up to m, the triangle
 inequality bounds every member v: |q - v| >= gap = max(0, |q - p| - hi, lo - |q - p|), hence
 <q, v> = (|q|^2 + |v|^2 - |q - v|^2) / 2 <= (|q|^2 + m^2 - gap^2) / 2, and by Cauchy-Schwarz <q, v> <= <q, p> + |q| hi.
-A query first expands the rings of largest bound until they hold enough vectors; its k-th best score then stops
-the search: only rings whose bound reaches it are read as well.
+Neighbouring rings make a group of about GROUP_ROWS vectors. A query first expands the groups of largest bound
+until they hold enough vectors; its k-th best score then stops the search: of the other groups it reads only those
+whose bound reaches it, and in them only the rings whose bound does.
 
-Pivots are fitted on a bounded sample (SAMPLE_ROWS); every vector is indexed and none is dropped, so results are
-exact whatever the pivots are. Rings of many vectors are cut into cells of about CELL_ROWS rows by the vector's
-id, queries into blocks of about BLOCK_QUERIES.
+Pivots are fitted on a bounded sample (SAMPLE_ROWS), their number grows with the root of the table's rows; every
+vector is indexed and none is dropped, so results are exact whatever the pivots are. A ring of many vectors is cut
+into cells by the vector's id, queries into blocks of about BLOCK_QUERIES; vectors go to the blocks that read them.
 """
 
 from __future__ import annotations
@@ -19,18 +20,25 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodewell.llm.common import stored, table
 
-PIVOTS, RINGS, SAMPLE_ROWS, CELL_ROWS, BLOCK_QUERIES, SCALE = 48, 24, 4_096, 512, 2_048, 1024.0
+RINGS, SAMPLE_ROWS, GROUP_ROWS, BLOCK_QUERIES, SCALE = 8, 8_192, 8_192, 1_024, 1024.0
+#: Pivots: twice the root of the rows, within these.
+LEAST_PIVOTS, MOST_PIVOTS, PLANNED = 16, 2_048, 256
+#: A query's candidates are merged in so many parts first.
+MERGES = 16
 EXACT = float(1 << 53)
+#: No score.
+NONE = np.iinfo(np.int64).min
 
 
 def integers(vectors: DataFrame, scale: float = SCALE) -> DataFrame:
-    """(vec_id, v): floor(scale * x) of every component; null vectors and ones with null or non-finite components are left out."""
-    good = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False)))
+    """(vec_id, v): floor(scale * x) of every component; null vectors, ones with null or non-finite components and rows without an id are left out."""
+    good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall("embedding", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False)))
     return vectors.where(good).select(F.col("vec_id").cast("long"), F.transform("embedding", lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double")).alias("v"))
 
 
@@ -47,14 +55,17 @@ def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return (as_int(q) @ as_int(v).T).astype(np.int64)
 
 
-def fit_pivots(sample: np.ndarray, seed: int = 3) -> np.ndarray:
-    """Lloyd's means of the sample, from distinct starts."""
+def fit_pivots(sample: np.ndarray, rows: int, seed: int = 3) -> np.ndarray:
+    """Lloyd's means of the sample, from distinct starts; as many as the table's rows ask for."""
     distinct = np.unique(sample, axis=0)
-    rng = np.random.default_rng(seed)
-    pivots = distinct[rng.permutation(len(distinct))[:PIVOTS]]
-    for _ in range(8):
+    wanted = int(min(MOST_PIVOTS, max(LEAST_PIVOTS, 2 * rows**0.5)))
+    pivots = distinct[np.random.default_rng(seed).permutation(len(distinct))[:wanted]]
+    for _ in range(4):
         near = distances(sample, pivots).argmin(1)
-        pivots = np.stack([sample[near == j].mean(0) if (near == j).any() else p for j, p in enumerate(pivots)])
+        count = np.bincount(near, minlength=len(pivots))
+        sums = np.zeros_like(pivots)
+        np.add.at(sums, near, sample)
+        pivots = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], pivots)
     return pivots
 
 
@@ -65,24 +76,41 @@ def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Rings:
-    """The bounded table of rings of one dimension: at most PIVOTS * RINGS rows."""
+    """The bounded table of rings of one dimension, by group: at most MOST_PIVOTS * RINGS rows."""
 
     pivots: np.ndarray
     ring: np.ndarray
-    pivot: np.ndarray
     low: np.ndarray
     high: np.ndarray
     norm: np.ndarray
     rows: np.ndarray
 
-    def bounds(self, q: np.ndarray) -> np.ndarray:
-        """An upper bound of the inner product for each query and ring, with room for rounding."""
-        d, n = distances(q, self.pivots)[:, self.pivot], np.linalg.norm(q, axis=1)[:, None]
-        gap = np.maximum(0, np.maximum(d - self.high, self.low - d))
-        by_triangle = (n * n + self.norm**2 - gap * gap) / 2
-        by_pivot = (q @ self.pivots.T)[:, self.pivot] + n * self.high
+    def __post_init__(self):
+        self.pivot = self.ring // RINGS
+        #: The first ring of each group: as many neighbours as hold about GROUP_ROWS vectors.
+        before = np.cumsum(self.rows) - self.rows
+        self.first = np.flatnonzero(np.diff(before // GROUP_ROWS, prepend=-1))
+        self.group = np.searchsorted(self.first, np.arange(len(self.ring)), "right") - 1
+        self.group_rows = np.add.reduceat(self.rows, self.first)
+
+    def bounds(self, q: np.ndarray, among: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """An upper bound of the inner product for each query and ring (of those at `among`), with room for rounding."""
+        pivot, norm = self.pivot[among], self.norm[among]
+        d, n = distances(q, self.pivots)[:, pivot], np.linalg.norm(q, axis=1)[:, None]
+        gap = np.maximum(0, np.maximum(d - self.high[among], self.low[among] - d))
+        by_triangle = (n * n + norm**2 - gap * gap) / 2
+        by_pivot = (q @ self.pivots.T)[:, pivot] + n * self.high[among]
         top = np.minimum(by_triangle, by_pivot)
-        return top + 1e-6 * (np.abs(top) + n * n + self.norm**2 + 1)
+        return top + 1e-6 * (np.abs(top) + n * n + norm**2 + 1)
+
+    def reads(self, q: np.ndarray, kth: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, group) pairs: each query's groups of largest bound that hold 2 k vectors; with k-th scores (-inf where there is none), the other groups that may reach them."""
+        top = np.maximum.reduceat(self.bounds(q), self.first, axis=1)
+        order = np.argsort(-top, axis=1, kind="stable")
+        before = np.cumsum(self.group_rows[order], 1) - self.group_rows[order]
+        early = np.zeros(top.shape, bool)
+        np.put_along_axis(early, order, before < 2 * k + 1, 1)
+        return np.nonzero(early if kth is None else ~early & (top >= kth[:, None]))
 
 
 def index(vectors: DataFrame, pivots: dict[int, np.ndarray], widths: dict[int, float]) -> DataFrame:
@@ -90,10 +118,9 @@ def index(vectors: DataFrame, pivots: dict[int, np.ndarray], widths: dict[int, f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths = np.array(batch.column(1).value_lengths())
-            for dim in np.unique(lengths).tolist():
-                part = pa.Table.from_batches([batch]).filter(pa.array(lengths == dim)).combine_chunks()
-                if dim not in pivots or not part.num_rows:
+            for dim in pivots:
+                part = of_dim(batch, dim)
+                if not part.num_rows:
                     continue
                 x = matrix(part.column(1).combine_chunks()) if dim else np.zeros((part.num_rows, 0))
                 d = distances(x, pivots[dim])
@@ -105,63 +132,72 @@ def index(vectors: DataFrame, pivots: dict[int, np.ndarray], widths: dict[int, f
     return vectors.mapInArrow(run, "vec_id long, v array<double>, dim int, ring int, far double, norm double")
 
 
-def plan(queries: DataFrame, rings: dict[int, Rings], k: int, second: bool) -> DataFrame:
-    """(query_id, q, dim, ring): the rings that a query reads: first those of largest bound until they hold 2k vectors; in the second round the others whose bound reaches its k-th score."""
+def of_dim(batch: pa.RecordBatch, dim: int) -> pa.Table:
+    """The rows of a batch whose vectors (its second column) have `dim` components."""
+    return pa.Table.from_batches([batch]).filter(pa.compute.equal(pa.compute.list_value_length(batch.column(1)), dim)).combine_chunks()
+
+
+def plan(queries: DataFrame, rings: dict[int, Rings], k: int) -> DataFrame:
+    """(query_id, q, kth, dim, part): the groups that each query (query_id, q, kth) reads next; kth is null before the first reading."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                dim = len(row.column(1)[0])
-                if dim not in rings:
-                    continue
-                r = rings[dim]
-                top = r.bounds(np.array(row.column(1)[0].as_py(), float).reshape(1, -1))[0]
-                order = np.argsort(-top, kind="stable")
-                first = int(np.searchsorted(np.cumsum(r.rows[order]), 2 * k + 1)) + 1
-                read = order[:first]
-                if second:
-                    kth = row.column(2)[0].as_py()
-                    read = order[first:]
-                    read = read if kth is None else read[top[read] >= kth]
-                if len(read):
-                    again = pa.array(np.zeros(len(read), np.int64))
-                    yield pa.RecordBatch.from_arrays([row.column(0).take(again), row.column(1).take(again), pa.array(np.full(len(read), dim), pa.int32()), pa.array(r.ring[read], pa.int32())], names=["query_id", "q", "dim", "ring"])
-
-    return queries.mapInArrow(run, "query_id long, q array<double>, dim int, ring int")
-
-
-def scan(reads: DataFrame, indexed: DataFrame, cells: DataFrame, blocks: int, k: int) -> DataFrame:
-    """The k best of every (query, cell): blocks of queries against cells of vectors, one group at a time."""
-    cut = F.greatest(F.lit(1), F.ceil(F.col("rows") / CELL_ROWS)).cast("int")
-    spread = reads.join(F.broadcast(cells), ["dim", "ring"]).withColumn("cell", F.explode(F.sequence(F.lit(0), cut - 1))).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).select("dim", "ring", "cell", "block", "query_id", "q")
-    held = indexed.join(F.broadcast(cells), ["dim", "ring"]).withColumn("cell", F.pmod(F.xxhash64("vec_id"), cut).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select("dim", "ring", "cell", "block", "vec_id", "v")
+            for dim, r in rings.items():
+                asked = of_dim(batch, dim)
+                for x in range(0, asked.num_rows, PLANNED):
+                    part = asked.slice(x, PLANNED).combine_chunks()
+                    q = matrix(part.column(1).combine_chunks()) if dim else np.zeros((part.num_rows, 0))
+                    kth = part.column(2).to_numpy().astype(float)
+                    who, group = r.reads(q, None if np.isnan(kth).all() else kth, k)
+                    if len(who):
+                        at = pa.array(who)
+                        yield pa.RecordBatch.from_arrays([*[c.take(at).combine_chunks() for c in part.columns[:3]], pa.array(np.full(len(who), dim), pa.int32()), pa.array(group, pa.int32())], names=["query_id", "q", "kth", "dim", "part"])
+
+    return queries.mapInArrow(run, "query_id long, q array<double>, kth double, dim int, part int")
+
+
+def scan(reads: DataFrame, indexed: DataFrame, rings: dict[int, Rings], cells: DataFrame, blocks: int, k: int) -> DataFrame:
+    """The k best of every query in every cell that it reads: blocks of queries against cells of vectors, one at a time. cells (dim, ring, part, cut) is a bounded table."""
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")
+    cut = F.broadcast(cells.groupBy("dim", "part").agg(F.max("cut").alias("cut")))
+    asked = reads.withColumn("block", block).join(cut, ["dim", "part"])
+    spread = asked.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cut") - 1))).select("dim", "part", "cell", "block", "query_id", "q", "kth")
+    wanted = asked.select("dim", "part", F.col("block").alias("by")).distinct()  # at most groups times blocks
+    placed = indexed.join(F.broadcast(cells), ["dim", "ring"]).withColumn("cell", F.pmod(F.xxhash64("vec_id"), F.col("cut")).cast("int"))
+    held = placed.join(wanted, ["dim", "part"]).select("dim", "part", "cell", F.col("by").alias("block"), "vec_id", "v", "ring")
 
     def best(queries: pa.Table, vectors: pa.Table) -> pa.Table:
-        out = {"query_id": [], "vec_id": [], "score": []}
+        found = [np.zeros((3, 0), np.int64)]
         if queries.num_rows and vectors.num_rows:
-            ids = vectors["vec_id"].to_numpy()
-            v, q = (matrix(t[c].combine_chunks()) if t["dim"][0].as_py() else np.zeros((t.num_rows, 0)) for t, c in ((vectors, "v"), (queries, "q")))
-            order = np.argsort(ids, kind="stable")
-            ids, v = ids[order], v[order]
-            scores = products(q, v)
-            for qid, row in zip(queries["query_id"].to_pylist(), scores, strict=True):
-                own = ids == qid
-                keep = np.argsort(-row, kind="stable")
-                keep = keep[~own[keep]][:k]
-                out["query_id"].append(np.full(len(keep), qid))
-                out["vec_id"].append(ids[keep])
-                out["score"].append(row[keep])
-        return pa.table({c: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for c, x in out.items()})
-
-    keys = ["dim", "ring", "cell", "block"]
+            vectors = vectors.sort_by([("ring", "ascending"), ("vec_id", "ascending")])
+            r = rings[dim := queries["dim"][0].as_py()]
+            ids, ring, names = (t.to_numpy() for t in (vectors["vec_id"], vectors["ring"], queries["query_id"]))
+            v, q = (matrix(t[c].combine_chunks()) if dim else np.zeros((t.num_rows, 0)) for t, c in ((vectors, "v"), (queries, "q")))
+            kth = np.nan_to_num(queries["kth"].to_numpy().astype(float), nan=-np.inf)
+            first = np.flatnonzero(np.diff(ring, prepend=-1))
+            ends = np.append(first[1:], len(ring))
+            near = r.bounds(q, np.searchsorted(r.ring, ring[first])) >= kth[:, None]
+            scores = np.full((len(q), len(v)), NONE)
+            for j, (x, y) in enumerate(zip(first.tolist(), ends.tolist(), strict=True)):
+                if len(rows := np.flatnonzero(near[:, j])):
+                    scores[rows, x:y] = products(q[rows], v[x:y])
+            scores[names[:, None] == ids] = NONE
+            least = np.partition(scores, len(v) - k, 1)[:, len(v) - k] if len(v) > k else np.full(len(q), NONE)
+            for name, row, low in zip(names.tolist(), scores, least.tolist(), strict=True):
+                at = np.flatnonzero((row >= low) & (row > NONE))
+                at = at[np.lexsort((ids[at], -row[at]))][:k]
+                found.append(np.stack([np.full(len(at), name), ids[at], row[at]]))
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, np.concatenate(found, 1)), strict=True)))
+
+    keys = ["dim", "part", "cell", "block"]
     return spread.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(best, "query_id long, vec_id long, score long")
 
 
 def best_of(found: DataFrame, k: int) -> DataFrame:
-    """Each query's k best by score, ties to the smaller vec_id, in rank order."""
-    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("v")))), 1, k)
-    return found.groupBy("query_id").agg(top.alias("top"))
+    """(query_id, top): each query's k best by score, ties to the smaller vec_id, in rank order; merged in parts first, so no array gathers all cells' candidates."""
+    one = F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("v"))
+    part = found.groupBy("query_id", F.pmod(F.xxhash64("vec_id"), F.lit(MERGES)).alias("m")).agg(F.slice(F.array_sort(F.collect_list(one)), 1, k).alias("top"))
+    return part.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k).alias("top"))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -170,31 +206,37 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     vectors and queries have (vec_id, v) as from integers(). Only vectors of a query's dimension compete. Ties go
     to the smaller vec_id; a repeated vec_id competes as often as it occurs. Fewer than k are returned where there are fewer.
     """
-    dims = [r[0] for r in vectors.select(F.size("v").alias("d")).distinct().collect()]
+    rows = {r[0]: r[1] for r in vectors.groupBy(F.size("v").alias("d")).count().collect()}
     pivots, widths = {}, {}
-    for dim in dims:
+    for dim, n in rows.items():
         sample = vectors.where(F.size("v") == dim).select(F.xxhash64("vec_id").alias("h"), "v").orderBy("h").limit(SAMPLE_ROWS).collect()
         x = np.array([r.v for r in sample], float).reshape(len(sample), dim)
-        pivots[dim] = fit_pivots(x)
+        pivots[dim] = fit_pivots(x, n)
         widths[dim] = max(1.0, float(distances(x, pivots[dim]).min(1).max()) / (RINGS - 1))
     indexed = stored(index(vectors, pivots, widths))
-    cells = stored(indexed.groupBy("dim", "ring").agg(F.count("*").alias("rows"), F.min("far").alias("low"), F.max("far").alias("high"), F.max("norm").alias("norm")))
-    rings = {}
-    for dim, part in cells.toPandas().sort_values(["dim", "ring"]).groupby("dim"):
-        ring = part["ring"].to_numpy()
-        rings[int(dim)] = Rings(pivots[int(dim)], ring, ring // RINGS, *(part[c].to_numpy(float) for c in ("low", "high", "norm")), part["rows"].to_numpy())
-    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    small = cells.select("dim", "ring", "rows")
+    spark = vectors.sparkSession
+    found = indexed.groupBy("dim", "ring").agg(F.count("*").alias("rows"), F.min("far").alias("low"), F.max("far").alias("high"), F.max("norm").alias("norm")).toPandas().sort_values(["dim", "ring"])
+    rings = {int(dim): Rings(pivots[int(dim)], *(part[c].to_numpy() for c in ("ring", "low", "high", "norm", "rows"))) for dim, part in found.groupby("dim")}
+    places = [(dim, int(ring), int(g), max(1, -(-int(r.group_rows[g]) // (2 * GROUP_ROWS)))) for dim, r in rings.items() for ring, g in zip(r.ring, r.group, strict=True)]
+    cells = spark.createDataFrame(places, "dim int, ring int, part int, cut int")
+    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.lit(None).cast("double").alias("kth"))
     blocks = max(1, asked.count() // BLOCK_QUERIES)
-    first = stored(best_of(scan(plan(asked, rings, k, False), indexed, small, blocks, k), k))
-    known = asked.join(first, "query_id", "left").select("query_id", "q", F.when(F.size("top") >= k, -F.element_at("top", k)["s"]).alias("kth"))
-    rest = scan(plan(known, rings, k, True), indexed, small, blocks, k)
+    first = stored(best_of(scan(plan(asked, rings, k), indexed, rings, cells, blocks, k), k))
+    # a query that has found fewer than k has no bound yet
+    known = asked.drop("kth").join(first, "query_id", "left").select("query_id", "q", F.when(F.size("top") >= k, -F.element_at("top", k)["s"].cast("double")).otherwise(F.lit(float("-inf"))).alias("kth"))
+    rest = scan(plan(known, rings, k), indexed, rings, cells, blocks, k)
     every = first.select("query_id", F.explode("top").alias("t")).select("query_id", F.col("t.v").alias("vec_id"), (-F.col("t.s")).alias("score")).unionByName(rest)
     ranked = best_of(every, k).select("query_id", F.posexplode("top").alias("i", "t"))
     return ranked.select("query_id", (F.col("i") + 1).alias("rank"), F.col("t.v").alias("vec_id"), (-F.col("t.s")).alias("score"))
 
 
 def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best inner products of every hundredth vector of `embeddings` with all others; see top_k.
+
+    Rows without an id and vectors that are null or hold a null or non-finite component take no part. Ties go to the
+    smaller vec_id. Only vectors of the query's own length compete. A repeated vec_id competes as often as it occurs,
+    never for itself. Other columns are ignored; an empty table gives no rows.
+    """
     vectors = integers(table(spark, sf_dir, "embeddings"))
     return top_k(vectors, vectors.where("vec_id % 100 = 0"))
 
