@@ -26,8 +26,10 @@ from lodewell.llm.ngrams import Words
 ORDERS, BUCKETS, DIM, SPAN = (3, 4, 5, 6), 1 << 17, 8, 20
 POSITIVES, NEGATIVES, SAMPLE_CHARS = 1_200, 2_400, 12_000_000
 AVERAGED_STEPS, STEPS, RATE, MOMENTUM, DECAY = 20, 200, 10.0, 0.9, 1e-5
-#: A bucket of n-grams takes part in training if this share of the sample's texts has it, two at least.
-LEAST_SHARE = 0.005
+#: A bucket of n-grams takes part in training if so many words of the sample's texts have it; others add nothing to a score.
+LEAST_WORDS = 2
+#: Toxic rows weigh so much of the loss together, clean ones the rest.
+TOXIC_WEIGHT = 0.8
 
 
 def spans(owner: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,10 +65,10 @@ class Model:
         return np.where(np.isfinite(best), best + self.bias, out)
 
 
-def frequent(owner: np.ndarray, kind: np.ndarray, word: np.ndarray, bucket: np.ndarray, texts: int) -> np.ndarray:
-    """Buckets that enough texts have; a text counts once for each of its words."""
+def frequent(owner: np.ndarray, kind: np.ndarray, word: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """Buckets that enough words have; a text counts once for each of its words."""
     texts_of = np.bincount(np.unique(owner.astype(np.int64) * (int(kind.max()) + 1) + kind) % (int(kind.max()) + 1))
-    return np.bincount(bucket, texts_of[word], BUCKETS) >= max(2, LEAST_SHARE * texts)
+    return np.bincount(bucket, texts_of[word], BUCKETS) >= LEAST_WORDS
 
 
 def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
@@ -85,14 +87,14 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
     word, bucket = (np.concatenate([g[i] for g in grams]).astype(np.int32) for i in (0, 1))
     del grams
     share = 1 / np.maximum(np.bincount(word, minlength=kinds), 1)
-    common = frequent(words.owner, kind, word, bucket, len(texts))
+    common = frequent(words.owner, kind, word, bucket)
     word, bucket = word[common[bucket]], bucket[common[bucket]]
     first, text = spans(words.owner, len(texts))
     length = np.diff(np.append(first, words.count))
     heads = np.flatnonzero(np.diff(text, prepend=-1))
     held = text[heads]  # texts that have words
     y = toxic[held].astype(np.float64)
-    weigh = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+    weigh = np.where(y > 0, TOXIC_WEIGHT / max(1, y.sum()), (1 - TOXIC_WEIGHT) / max(1, (1 - y).sum()))
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     v, b = rng.normal(0, 0.5, DIM).astype(np.float32), 0.0
@@ -125,7 +127,9 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
             x += speed
         b += speed_b
         speed_b = MOMENTUM * speed_b - 0.05 * RATE * float(bias_grad)
-    return Model((e @ v).astype(np.float32), float(b))
+    product = (e @ v).astype(np.float32)
+    product[often == 0] = 0  # never trained: still at its random start
+    return Model(product, float(b))
 
 
 def fit(labelled: DataFrame) -> Model:
@@ -165,7 +169,7 @@ def bounded(rows: Iterable[tuple[float, str, int]]) -> list[tuple[float, str, in
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id and toxic_score (0 to 1) of every row's whole text; null and empty texts score by the bias alone. Map-only; other columns are ignored."""
+    """doc_id and toxic_score (0 to 1) of every row's whole text; null and empty texts score by the bias alone. Repeated rows score alike. Map-only; other columns are ignored."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,6 +187,12 @@ def held_out() -> Column:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every text of `documents`, learned from `labels` of the rows that are not held out; see score.
+
+    A null text is the empty one and scores by the bias alone. Null labels teach nothing; of repeated labels of one
+    doc_id the toxic one holds. A null doc_id has no label and counts as remainder 0. Repeated rows score alike. Other
+    columns are ignored; without labels every text scores near 0; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(~held_out()).where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     model = fit(sampled(docs, labels))
