@@ -1,7 +1,7 @@
 """Document fingerprints (operator 1): Merkle trees over sections, paragraphs and their pieces, in DataFrame functions only.
 
 A text is split into sections at blank lines, sections into paragraphs at line breaks, paragraphs into pieces
-at sentence ends (400 code points at most). Each split can be undone, so a tree of sha256 hashes over them has
+at the ends of clauses (64 code points at most before them, so that likeness follows the unchanged part in short texts too). Each split can be undone, so a tree of sha256 hashes over them has
 equal roots for equal texts only. Differing nodes show where two texts differ; the share of pieces that two
 trees have in common is their likeness.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lodewell.llm.common import table
 
-PIECE = r"[^.!?]{1,400}[.!?]*|[.!?]{1,400}"
+PIECE = r"[^.!?,;:]{1,64}[.!?,;:]*|[.!?,;:]{1,64}"
 #: Rows of a bucket of neighbouring ids, about; buckets at most, which bounds what is broadcast and sent to the driver.
 BUCKET_ROWS, QUANTILES, MOST_BUCKETS = 512, 4096, 1 << 16
 FAN = 64
@@ -122,6 +122,11 @@ def edited_against_next(docs: DataFrame) -> DataFrame:
 
 
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text of `documents` and of its edited text; see edited_against_next.
+
+    A null text is the empty one. The next document is the next row by descending doc_id: null ids last, equal ids by
+    text, rows that are equal altogether in any order. Other columns are ignored; an empty table gives no rows.
+    """
     return edited_against_next(table(spark, sf_dir, "documents"))
 
 
