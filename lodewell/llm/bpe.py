@@ -197,4 +197,9 @@ def digests(docs: DataFrame, rank_path: str) -> DataFrame:
 
 
 def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every text of `documents`, encoded and decoded; see digests.
+
+    A null text is the empty one: no ids, and the digests of nothing. Repeated rows each have a row. Other columns are
+    ignored; an empty table gives no rows.
+    """
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))

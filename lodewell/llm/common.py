@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import gc
 import re
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -14,6 +12,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodewell.session import shared_dir as shared_dir
+
 #: Code points that the Python kernels take at once.
 BATCH_CHARS = 1 << 20
 #: Words: runs of anything but the six ASCII white-space characters.
@@ -27,18 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new path in the folder that spark.checkpoint.dir names; only where that is unset (tests), a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = found.get() if found.isDefined() else None
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='lodewell-')}"
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/lodewell-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, and lost executors cost no recomputation."""
     spark = df.sparkSession

@@ -110,6 +110,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: Fraction = S
 
 
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix of all `documents` takes of each row; see mix.
+
+    A null text has size 0; a null source is one of its own, the last. Rows of one doc_id and source fall alike, so
+    repeated rows do. Other columns are ignored; an empty table gives no rows.
+    """
     sized = stored(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), F.col("source").cast("string").alias("source"), size_of().alias("__lw_size")))
     done = decided(sized, rates(sized))
     return done.select("doc_id", F.col("__lw_size").alias("size"), F.col("__lw_source_size").alias("source_size"), F.col("__lw_target").alias("target"), (F.col("__lw_size") * F.col("__lw_copies")).alias("taken"))

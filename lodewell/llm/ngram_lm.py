@@ -16,7 +16,8 @@ for every successor that was seen, b = 1 - the sum of a over them, and the empty
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lodewell.llm.common import binary, chunks, crc_mod, mix64, open_fs, release, shared_dir, table
 from lodewell.llm.eliasfano import Sequence, encode, read_arrays, write_arrays
-from lodewell.llm.repeats import pack, unpack
+from lodewell.llm.repeats import Format, dealt, pack, unpack, width
 from lodewell.llm.words import WordHashes
 
 ORDERS = (2, 3)
@@ -34,6 +35,10 @@ DISCOUNT = 0.75
 #: The end of a text is a token; this is its place among the hashes.
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 RUN_TOKENS, SHARD_TOKENS, SCORE_CHARS = 1 << 20, 1 << 21, 1 << 21
+#: Files of a model that a worker keeps open at once: few bytes each where they are memory-mapped, whole files where they are not.
+OPEN_FILES = 256
+#: Distinct words at most: ids stay under 2 ** 32, and a context of two words under 2 ** 63.
+MOST_WORDS = 3_000_000_000
 
 
 def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -79,6 +84,22 @@ def deltas(x: np.ndarray) -> np.ndarray:
     return np.diff(x, prepend=x[:1] * 0)
 
 
+class Opened:
+    """The arrays of files by name; beyond OPEN_FILES, the one that was used longest ago is closed."""
+
+    def __init__(self, path: str):
+        self.path, self.held = path, OrderedDict()
+
+    def get(self, name: str, make: Callable[[dict[str, np.ndarray]], object]) -> object:
+        if name not in self.held:
+            fs, base = open_fs(self.path)
+            self.held[name] = make(read_arrays(fs, f"{base}/{name}"))
+            if len(self.held) > OPEN_FILES:
+                self.held.popitem(last=False)
+        self.held.move_to_end(name)
+        return self.held[name]
+
+
 @dataclass
 class Vocabulary:
     """Ids and counts of words: bucket i of the hash space starts at id bases[i] of its own file."""
@@ -104,13 +125,11 @@ class Vocabulary:
         return ids, counts
 
     def file(self, i: int) -> dict[str, np.ndarray] | None:
+        if self.bases[i + 1] == self.bases[i]:
+            return None
         if not hasattr(self, "opened"):
-            self.opened = {}
-        if i not in self.opened:
-            empty = self.bases[i + 1] == self.bases[i]
-            fs, base = open_fs(self.path)
-            self.opened[i] = None if empty else read_arrays(fs, f"{base}/words-{i:06d}")
-        return self.opened[i]
+            self.opened = Opened(self.path)
+        return self.opened.get(f"words-{i:06d}", lambda arrays: arrays)
 
 
 def put(out: str, name: str, arrays: dict[str, np.ndarray]) -> int:
@@ -129,32 +148,47 @@ def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[np
             yield i, order, unpack(blob)
 
 
-SENT = "shard int, ngram int, packed binary"
+SENT = "bucket int, kind int, packed binary"
 
 
 def sent(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), binary([r[2] for r in rows])], names=["shard", "ngram", "packed"])
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), binary([r[2] for r in rows])], names=["bucket", "kind", "packed"])
+
+
+def closed(kind: int, columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Columns for packing: differences of the first, the others in few bits."""
+    first, *rest = columns
+    return [deltas(first), *[r.astype(np.int32) if r.max(initial=0) < 1 << 31 else r for r in rest]]
+
+
+def opened(kind: int, arrays: list[np.ndarray]) -> list[np.ndarray]:
+    first, *rest = arrays
+    return [np.cumsum(first, dtype=first.dtype), *[r.astype(np.int64) for r in rest]]
 
 
 def cut(shard: np.ndarray, columns: list[np.ndarray], ngram: int) -> list[tuple[int, int, bytes]]:
-    """Sorted columns (the last: counts) by shard, packed: differences of the first, the others as they are."""
+    """Sorted columns (the last: counts) by shard, packed."""
     order = np.argsort(narrow(shard), kind="stable")
     out = []
     for i, a, b in stretches(shard[order]):
-        first, *rest = (c[order[a:b]] for c in columns)
-        out.append((i, ngram, pack([deltas(first), *[r.astype(np.int32) if r.max(initial=0) < 1 << 31 else r for r in rest]])))
+        out.append((i, ngram, pack(closed(ngram, [c[order[a:b]] for c in columns]))))
     return out
 
 
 def count_words(texts: DataFrame, out: str, buckets_log2: int) -> Vocabulary:
     """Count all tokens of `texts` (one column) and write the vocabulary's files."""
+    buckets = 1 << buckets_log2
+    step = width(buckets)
+
+    def bucket(kind: int, columns: list[np.ndarray]) -> np.ndarray:
+        return (columns[0] >> np.uint64(64 - buckets_log2)).astype(np.int64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run, size = [], 0
 
         def flush() -> pa.RecordBatch:
             (h,), n = summed([np.concatenate(run)], np.ones(size, np.int64))
-            return sent(cut((h >> np.uint64(64 - buckets_log2)).astype(np.int64), [h, n], 1))
+            return sent(cut(bucket(1, [h]) // step, [h, n], 1))
 
         for batch in batches:
             for _, part in chunks(batch.column(0).cast(pa.binary()).to_pylist()):
@@ -169,17 +203,19 @@ def count_words(texts: DataFrame, out: str, buckets_log2: int) -> Vocabulary:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
-        for i, _, (h, n) in blobs(batches):
-            held.setdefault(i, []).append((np.cumsum(h, dtype=np.uint64), n))
+        for i, _, arrays in blobs(batches):
+            held.setdefault(i, []).append(opened(1, arrays))
         for i, parts in held.items():
             (h,), n = summed([np.concatenate([p[0] for p in parts])], np.concatenate([p[1] for p in parts]).astype(np.int64))
             put(out, f"words-{i:06d}", {"hashes": h, "counts": n.astype(np.uint32 if n.max() < 1 << 32 else np.uint64)})
             yield pa.RecordBatch.from_pylist([{"shard": i, "size": len(h), "tokens": int(n.sum())}])
 
-    made = texts.mapInArrow(count, SENT).repartitionById(1 << buckets_log2, "shard").mapInArrow(write, "shard long, size long, tokens long").collect()
+    made = dealt(texts.mapInArrow(count, SENT), buckets, Format(opened, closed, bucket)).mapInArrow(write, "shard long, size long, tokens long").collect()
     sizes = np.zeros(1 << buckets_log2, np.int64)
     for r in made:
         sizes[r["shard"]] = r["size"]
+    if sizes.sum() > MOST_WORDS:
+        raise ValueError(f"{sizes.sum()} distinct words; the model's ids hold {MOST_WORDS}")
     return Vocabulary(out, buckets_log2, [0, *np.cumsum(sizes).tolist()], sum(r["tokens"] for r in made), int(sizes.sum()))
 
 
@@ -285,13 +321,10 @@ class Model:
 
     def level(self, order: int, shard: int) -> Level | None:
         if not hasattr(self, "opened"):
-            self.opened, self.have = {}, set(self.made)
+            self.opened, self.have = Opened(self.path), set(self.made)
         if (order, shard) not in self.have:
             return None
-        if (order, shard) not in self.opened:
-            fs, base = open_fs(self.path)
-            self.opened[order, shard] = Level(read_arrays(fs, f"{base}/level-{order}-{shard:06d}"), self.vocabulary.size)
-        return self.opened[order, shard]
+        return self.opened.get(f"level-{order}-{shard:06d}", lambda arrays: Level(arrays, self.vocabulary.size))
 
     def score(self, texts: list[str] | list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(tokens, known tokens, base score, model score) of each text."""
@@ -344,7 +377,7 @@ def train(docs: DataFrame) -> Model:
     shards = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(chars / 6 // SHARD_TOKENS, 1 << 20)))
     vocabulary = count_words(texts, out, max(1, (shards - 1).bit_length()))
     release(spark)
-    size = vocabulary.size
+    size, step = vocabulary.size, width(shards)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -357,7 +390,7 @@ def train(docs: DataFrame) -> Model:
                 words, n = run.ngrams(order)
                 words = [ids[w] for w in words]
                 context = context_of(words[:-1], size)
-                rows += cut(shard_of(context, shards), [context, words[-1], n], order)
+                rows += cut(shard_of(context, shards) // step, [context, words[-1], n], order)
             parts.clear()
             return sent(rows)
 
@@ -373,8 +406,8 @@ def train(docs: DataFrame) -> Model:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], list] = {}
-        for i, order, (context, word, n) in blobs(batches):
-            held.setdefault((order, i), []).append((np.cumsum(context), word.astype(np.int64), n.astype(np.int64)))
+        for i, order, arrays in blobs(batches):
+            held.setdefault((order, i), []).append(opened(order, arrays))
         for (order, i), parts in sorted(held.items()):
             context, word, n = (np.concatenate(x) for x in zip(*parts, strict=True))
             parts.clear()
@@ -383,13 +416,14 @@ def train(docs: DataFrame) -> Model:
                 put(out, f"level-{order}-{i:06d}", level(context, word, n, size))
                 yield pa.RecordBatch.from_pylist([{"ngram": order, "shard": i}])
 
-    made = texts.mapInArrow(count, SENT).repartitionById(shards, "shard").mapInArrow(build, "ngram long, shard long").collect()
+    form = Format(opened, closed, lambda kind, columns: shard_of(columns[0], shards))
+    made = dealt(texts.mapInArrow(count, SENT), shards, form).mapInArrow(build, "ngram long, shard long").collect()
     release(spark)
     return Model(vocabulary, out, shards, [(r["ngram"], r["shard"]) for r in made])
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, held, n_tokens, n_known, base_score, score) of every row of docs (doc_id, text, held). A null or empty text has its end only. Map-only."""
+    """(doc_id, held, n_tokens, n_known, base_score, score) of every row of docs (doc_id, text, held). A null or empty text has its end only. Repeated rows score alike; docs have no other columns. Map-only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -405,6 +439,12 @@ def held_out() -> Column:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every text of `documents` by a model of those that are not held out; see scored.
+
+    A null or empty text is its end alone. A null doc_id counts as remainder 0 and so is learned from. Repeated rows
+    are learned from as often as they occur and score alike. Other columns are ignored; where nothing is learned, a
+    score is 0 for each token; an empty table gives no rows.
+    """
     docs = table(spark, sf_dir, "documents")
     model = train(docs.where(~held_out()))
     done = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out().alias("held")), model)

@@ -130,6 +130,11 @@ def remove(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every text of `documents` that windows of 35 words which start elsewhere too do not cover; see remove.
+
+    A null text has no words. Repeated rows, whatever their ids, are each other's repeats. Other columns are ignored;
+    an empty table gives no rows.
+    """
     done = remove(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")))
     return done.select("doc_id", F.col("__lw_words").alias("n_words"), F.col("__lw_removed").alias("n_removed"), F.sha2("__lw_kept", 256).alias("kept_sha256"))
 

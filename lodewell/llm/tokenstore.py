@@ -264,6 +264,11 @@ def read_store(spark: SparkSession, out: str, manifest: list[dict], *, with_ids:
 
 
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the ids of every text of `documents`, each document's end id 0 with them, to a store, and reads it back; see write_store and read_store.
+
+    A null text is the empty one: its end alone. Documents lie in ascending doc_id order, null ids first, equal ids by
+    text. Repeated rows each have a frame. Other columns are ignored; an empty table gives no rows.
+    """
     out = shared_dir(spark)
     manifest = write_store(table(spark, sf_dir, "documents"), out, public_tokenizers.path("byte_bpe_50k.json"), 0)
     return read_store(spark, out, manifest)
