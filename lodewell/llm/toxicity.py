@@ -30,6 +30,8 @@ AVERAGED_STEPS, STEPS, RATE, MOMENTUM, DECAY = 20, 200, 10.0, 0.9, 1e-5
 LEAST_WORDS = 2
 #: Toxic rows weigh so much of the loss together, clean ones the rest.
 TOXIC_WEIGHT = 0.8
+#: The bias stays below, so that a text of which nothing is known is clean.
+MOST_BIAS = -0.5
 
 
 def spans(owner: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +127,7 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
             speed *= MOMENTUM
             speed -= step * min(1.0, 0.2 / (float(np.abs(step).max()) + 1e-12))
             x += speed
-        b += speed_b
+        b = min(b + speed_b, MOST_BIAS)
         speed_b = MOMENTUM * speed_b - 0.05 * RATE * float(bias_grad)
     product = (e @ v).astype(np.float32)
     product[often == 0] = 0  # never trained: still at its random start

@@ -81,7 +81,8 @@ def test_toxicity_separates_held_out_texts(spark):
     model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
     held = spark.createDataFrame([(i, text(i % 2 == 0, i % 4 == 0)) for i in range(300)], "doc_id long, text string")
     got = {r.doc_id: r.toxic_score for r in toxicity.score(held, model).collect()}
-    caught = sum(got[i] >= 0.5 for i in range(0, 300, 2)) / 150
-    assert caught >= 0.9 and sum(got[i] < 0.5 for i in range(1, 300, 2)) / 150 >= 0.95
+    known, misspelled, clean = ([got[i] for i in ids] for ids in (range(2, 300, 4), range(0, 300, 4), range(1, 300, 2)))
+    assert sum(p >= 0.5 for p in known) / len(known) >= 0.95 and sum(p < 0.5 for p in clean) / len(clean) >= 0.95
+    assert sum(m > c for m in misspelled for c in clean) / len(misspelled) / len(clean) >= 0.75
     unseen = spark.createDataFrame([(i, "".join(rng.choices("qxzwy", k=9))) for i in range(50)], "doc_id long, text string")
     assert toxicity.score(unseen, model).where("toxic_score >= 0.5").count() == 0 and toxicity.score(unseen, model).agg(F.min("toxic_score")).first()[0] >= 0
