@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lodewell.llm.common import stored, table
 
-RINGS, SAMPLE_ROWS, GROUP_ROWS, BLOCK_QUERIES, SCALE = 8, 8_192, 8_192, 1_024, 1024.0
+RINGS, SAMPLE_ROWS, GROUP_ROWS, BLOCK_QUERIES, SCALE = 8, 8_192, 2_048, 2_048, 1024.0
 #: Pivots: twice the root of the rows, within these.
 LEAST_PIVOTS, MOST_PIVOTS, PLANNED = 16, 2_048, 256
 #: A query's candidates are merged in so many parts first.
