@@ -15,6 +15,12 @@ def documents(rows: DataFrame) -> DataFrame:
     return rows.withColumn("payload", scrub_pii(F.col("payload"))).withColumn("content_hash", content_hash(F.col("payload")))
 
 
+def list_and_details(lists: DataFrame, details: DataFrame, key: str = "source_id") -> DataFrame:
+    """List rows, and for those whose key details have, a detail row: one union with `endpoint`, instead of a lookup for each row. Both sides have the same columns."""
+    enriched = details.join(lists.select(key).distinct(), key, "left_semi").select(*lists.columns)
+    return lists.withColumn("endpoint", F.lit("list")).unionByName(enriched.withColumn("endpoint", F.lit("detail")))
+
+
 def pending(raw: DataFrame, source: str, limit: int = 5_000, endpoint: str = "detail") -> DataFrame:
     """The oldest unprocessed rows: a top-n scan of four columns, ties by id."""
     mine = (F.col("source") == source) & (F.col("endpoint") == endpoint) & F.col("processed_at").isNull()

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lodewell.schemas import CATEGORIES
 
+#: Lines that name a skill without asking for it.
+NEGATED = r"필수가 아닙니다|무관|필요 ?없|(?i)not required"
 #: Words of the longest surface form that is looked for.
 LONGEST_FORM = 5
 
@@ -38,6 +40,11 @@ def words(c: Column) -> Column:
     return F.transform(raw, lambda x: F.regexp_replace(x, r"[.\-]+$", ""))
 
 
+def without_negations(c: Column, pattern: str = NEGATED) -> Column:
+    """A text without the lines that say that something is not asked for; what they name is no match."""
+    return F.array_join(F.filter(F.split(F.coalesce(c, F.lit("")), "\n"), lambda line: ~line.rlike(pattern)), "\n")
+
+
 def phrases(c: Column, longest: int) -> Column:
     """Every run of one to `longest` words of a text, joined by one space."""
     runs = lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.size(c)), lambda i: i <= F.size(c) - n + 1), lambda i: F.array_join(F.slice(c, i, F.lit(n)), " "))
@@ -75,6 +82,19 @@ def job_skills(required: DataFrame, preferred: DataFrame, key: str, extracted_by
     return found.withColumns({"confidence": sure.cast("float"), "extracted_by": F.lit(extracted_by)})
 
 
+def extract(jobs: DataFrame, dictionary: DataFrame, key: str = "source_id", extracted_by: str = "dict_v1") -> DataFrame:
+    """job_skills of flat postings (see normalize): the dictionary's forms and patterns in the tasks and requirements, which are required, and in the preferences. Negated lines do not count; of a skill with patterns only these are looked for."""
+    patterns = {r["name"]: "|".join(f"(?:{p})" for p in r["match_patterns"]) for r in dictionary.where(F.size("match_patterns") > 0).select("name", "match_patterns").collect()}
+
+    def found(text: Column) -> DataFrame:
+        texts = jobs.select(key, without_negations(text).alias("__text"))
+        hits = match_words(texts, key, "__text", dictionary)
+        return hits.unionByName(match_patterns(texts, key, "__text", patterns)) if patterns else hits
+
+    required = F.concat_ws("\n", "sections.main_tasks", "sections.requirements")
+    return job_skills(found(required), found(F.col("sections.preferred")), key, extracted_by)
+
+
 def jobs_with(jobs: DataFrame, found: DataFrame, key: str, skill: str, required: bool | None = True) -> DataFrame:
     """The reverse lookup: postings that ask for a skill (required only, preferred only with False, either with None)."""
     hits = found.where(F.col("skill") == skill)

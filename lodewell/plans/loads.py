@@ -118,6 +118,18 @@ def map_merge(spark, d):
     return both.select("event_id", F.col("m")["k"].alias("k"), F.col("m")["u"].alias("u"), F.size("m").alias("keys"))
 
 
+@query("""SELECT o_orderkey, '{"priority":"' || o_orderpriority || '","day":"' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || '","price":null}' AS text, o_orderpriority AS priority, CAST(o_orderdate AS DATE) AS day FROM orders""")
+def json_round_trip(spark, d):
+    text = F.to_json(F.struct(F.col("o_orderpriority").alias("priority"), F.col("o_orderdate").cast("date").alias("day"), F.lit(None).cast("double").alias("price")), {"ignoreNullFields": "false"})
+    back = t(spark, d, "orders").select("o_orderkey", text.alias("text")).withColumn("x", F.from_json("text", "priority STRING, day DATE, price DOUBLE"))
+    return back.select("o_orderkey", "text", "x.priority", "x.day")
+
+
+@query("SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda l: NOT regexp_matches(l, 'idiot|password')), chr(10)) AS text FROM documents")
+def negated_lines(spark, d):
+    return t(spark, d, "documents").select("doc_id", skills.without_negations(F.col("text"), "idiot|password").alias("text"))
+
+
 # Dictionaries and skills
 
 

@@ -384,7 +384,7 @@ def inner_join_companies(spark, d):
 def list_detail_union(spark, d):
     pages = t(spark, d, "orders").select(F.col("o_orderkey").alias("source_id"))
     details = t(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("source_id"))
-    return pages.withColumn("endpoint", F.lit("list")).unionByName(pages.join(details, "source_id", "left_semi").withColumn("endpoint", F.lit("detail")))
+    return raw.list_and_details(pages, details.distinct())
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 100 OFFSET 200")
@@ -510,8 +510,9 @@ def posting_pipeline(spark, d):
 
 @query()
 def extraction_precision_recall(spark, d):
-    """Skills found in synthetic postings against those that were written into them."""
+    """Skills extracted from synthetic postings, traps and all, against those that were written into them."""
     p = postings(spark, d)
+    flat = normalize.flatten(p.select(F.lit("sample").alias("source"), "payload", F.col("idx").alias("id"), F.lit("2026-09-15 00:00:00").cast("timestamp").alias("fetched_at")))
     known = dictionary.skills(spark, [(s, "tool", [synthetic.ALIASES[s]] if s in synthetic.ALIASES else [], []) for s in synthetic.SKILLS])
-    found = skills.match_words(p, "source_id", "payload", known).groupBy(F.col("source_id").alias("key")).agg(F.collect_set("skill").alias("skills"))
+    found = skills.extract(flat, known).groupBy(F.col("source_id").alias("key")).agg(F.collect_set("skill").alias("skills"))
     return skills.precision_recall(found, p.select(F.col("source_id").alias("key"), F.array_union("required", "preferred").alias("skills")))

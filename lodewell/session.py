@@ -32,6 +32,11 @@ class Settings:
         } | self.extra
 
 
+def jdbc_url(database: str, host: str = "localhost", port: int | str = 5432) -> str:
+    """The address of a PostgreSQL database, for spark.read.jdbc; a port may come as text. Users and passwords go into the connection's properties."""
+    return f"jdbc:postgresql://{host}:{int(port)}/{database}"
+
+
 def session(settings: Settings | None = None) -> SparkSession:
     settings = settings or Settings()
     builder = SparkSession.builder.appName(settings.app_name).config(map=settings.conf())

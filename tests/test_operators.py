@@ -158,6 +158,12 @@ def test_skill_matching(spark):
     assert {(r.id, r.skill, r.is_required) for r in j.collect()} == {(1, "Go", True), (2, "R", True), (2, "Node.js", False), (2, "Python", False)}
 
 
+def test_extraction_passes_traps_over(spark):
+    known = dictionary(spark, [("Java", "language", [], []), ("Python", "language", ["파이썬"], []), ("R", "language", [], ["(?<![A-Za-z&])R(?![A-Za-z&])"])])
+    jobs = spark.createDataFrame([("1", ("파이썬 개발\nJava 경험은 필수가 아닙니다", "R&D 조직", "R 우대")), ("2", (None, None, "Python 경험 무관"))], "source_id string, sections struct<main_tasks:string,requirements:string,preferred:string>")
+    assert {(r.source_id, r.skill, r.is_required) for r in skills.extract(jobs, known).collect()} == {("1", "Python", True), ("1", "R", False)}
+
+
 def test_ranking(spark):
     df = spark.createDataFrame([("q", 3.0, 1), ("q", 2.0, 0), ("q", 1.0, 2)], "g string, s double, rel int")
     m = rank.ranking_metrics(df, "g", "s", "rel").first()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodewell.operators.ingestion import RunTable, raw_rows, run_ingestion
 from lodewell.operators.raw import BudgetExceeded
-from lodewell.session import Settings, healthy
+from lodewell.session import Settings, healthy, jdbc_url
 from lodewell.sources import synthetic
 from lodewell.sources.dictionary import load_skills, load_vocabulary
 from lodewell.sources.paged import CallBudget, ListQuery, PagedSource, PageSource, RawDocument, fetch_detail, has_next, plan_pages
@@ -111,6 +111,7 @@ def test_daily_budget(spark):
 
 
 def test_settings(spark):
+    assert jdbc_url("jobs", "db", "5433") == "jdbc:postgresql://db:5433/jobs"
     assert Settings(shuffle_partitions="12").conf()["spark.sql.shuffle.partitions"] == "12" and healthy(spark)["status"] == "ok"
 
 
