@@ -13,6 +13,11 @@ CORPORATE_FORMS = ("(주)", "㈜", "주식회사", "(유)", "유한회사", "(
 ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'))
 OPEN_ENDED = ("상시", "채용시", "수시")
 
+#: Patterns of numbers in salaries, of spans, months and years of experience, and of dates.
+NUMBER = r"\d[\d,]*"
+YEAR_SPAN, MONTH_COUNT, YEAR_COUNT = r"(\d+)\s*[~\-–]\s*(\d+)\s*년", r"(\d+)\s*개월", r"(\d+)\s*년"
+DATE = r"(\d{4})[.\-/](\d{1,2})[.\-/](\d{1,2})"
+
 WON, MONTHS = 10_000, 12
 
 
@@ -55,7 +60,7 @@ def company_key(c: Column) -> Column:
 def salary(raw: Column, code: Column) -> Column:
     """struct(min, max, note): yearly won. The text is in 10,000 won, by the month if it or the code says so; max only of two numbers or more."""
     text, code = strip(blank_if_null(raw)), F.upper(blank_if_null(code))
-    found = F.regexp_extract_all(digits(text), F.lit(r"\d[\d,]*"), F.lit(0))
+    found = F.regexp_extract_all(digits(text), F.lit(NUMBER), F.lit(0))
     factor = F.when(text.contains("월") | (code == "M"), F.lit(WON * MONTHS)).otherwise(F.lit(WON)).cast("bigint")
     won = F.transform(found, lambda x: F.try_multiply(F.replace(x, F.lit(","), F.lit("")).try_cast("bigint"), factor))
     reason = (
@@ -78,10 +83,9 @@ def experience(raw: Column, code: Column) -> Column:
     """struct(min, max, note): years asked for. Anyone may apply: (0, null); beginners: (0, 0); months are divided down."""
     text, code = strip(blank_if_null(raw)), F.upper(blank_if_null(code))
     plain = digits(text)
-    span, months, years = r"(\d+)\s*[~\-–]\s*(\d+)\s*년", r"(\d+)\s*개월", r"(\d+)\s*년"
     small = lambda c: c.try_cast("smallint")
-    low, high = group(plain, span, 1), group(plain, span, 2)
-    by_months, by_years = group(plain, months, 1), group(plain, years, 1)
+    low, high = group(plain, YEAR_SPAN, 1), group(plain, YEAR_SPAN, 2)
+    by_months, by_years = group(plain, MONTH_COUNT, 1), group(plain, YEAR_COUNT, 1)
     anyone = (code == "Z") | text.contains("무관") | text.contains("신입/경력")
     beginner = (code == "N") | text.contains("신입")
     zero = F.lit(0).cast("smallint")
@@ -94,8 +98,8 @@ def experience(raw: Column, code: Column) -> Column:
 def deadline(raw: Column) -> Column:
     """struct(date, note): open-ended deadlines are a normal null."""
     text = strip(blank_if_null(raw))
-    plain, pattern = digits(text), r"(\d{4})[.\-/](\d{1,2})[.\-/](\d{1,2})"
-    parts = [group(plain, pattern, i) for i in (1, 2, 3)]
+    plain = digits(text)
+    parts = [group(plain, DATE, i) for i in (1, 2, 3)]
     day = F.when(parts[0] != "0000", F.try_to_date(F.concat_ws("-", *parts), "yyyy-M-d"))
     reason = F.when(text == "", F.lit("empty")).when(text.rlike(quoted(OPEN_ENDED)), F.lit("open_ended")).when(parts[0].isNull(), note("unparsed", text)).when(day.isNull(), note("invalid_date", text))
     return F.struct(F.when(reason.isNull(), day).alias("date"), reason.alias("note"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodewell.functions.parse import EDUCATION
 from lodewell.functions.search import cosine, trigram_similarity
 
 #: Rank fusion's constant.
@@ -30,8 +31,8 @@ def label_weight(action: Column, seconds: Column) -> Column:
     return F.when(action == "apply", 3).when(action == "save", 2).when((action == "view") & (seconds > 10), 1).otherwise(0)
 
 
-#: Levels of education in rising order; what a posting asks for is met by the same level or a higher one.
-EDUCATION_LEVELS = ("elementary", "middle", "high", "associate", "bachelor", "master", "doctor")
+#: Levels of education in rising order, as the parser names them; what a posting asks for is met by the same level or a higher one.
+EDUCATION_LEVELS = tuple(name for _, name in sorted(EDUCATION.items()) if name != "none")
 #: Years outside the asked range at which the fit has fallen to 1 / e.
 YEARS_DECAY = 3.0
 

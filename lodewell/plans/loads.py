@@ -214,7 +214,7 @@ def trigram_search(spark, d):
 
 
 #: Columns of a pair of a profile (a customer) and a posting (one of the customer's orders); lists and maps come beside.
-PAIR = "o_orderkey, CAST(o_custkey % 12 AS DOUBLE) AS years, CASE o_custkey % 3 WHEN 0 THEN 'master' WHEN 1 THEN 'high' END AS profile_education, CAST(o_custkey % 4 * 1000 AS BIGINT) AS desired_salary, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 10 END AS exp_min, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 10 + 2 END AS exp_max, CASE o_orderkey % 3 WHEN 0 THEN 'bachelor' WHEN 1 THEN 'high' END AS education, o_orderstatus AS region_code, CAST(o_orderkey % 5000 AS BIGINT) AS salary_min, o_orderkey % 100 AS views, CAST(o_orderdate AS DATE) AS deadline"
+PAIR = "o_orderkey, CAST(o_custkey % 12 AS DOUBLE) AS years, CASE o_custkey % 3 WHEN 0 THEN 'master' WHEN 1 THEN 'highschool' END AS profile_education, CAST(o_custkey % 4 * 1000 AS BIGINT) AS desired_salary, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 10 END AS exp_min, CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 10 + 2 END AS exp_max, CASE o_orderkey % 3 WHEN 0 THEN 'bachelor' WHEN 1 THEN 'highschool' END AS education, o_orderstatus AS region_code, CAST(o_orderkey % 5000 AS BIGINT) AS salary_min, o_orderkey % 100 AS views, CAST(o_orderdate AS DATE) AS deadline"
 ROUNDED = ("skill_required_coverage", "skill_preferred_coverage", "skill_weighted_score", "exp_fit", "salary_gap_ratio", "semantic_similarity", "title_similarity", "job_popularity")
 
 
@@ -222,7 +222,7 @@ ROUNDED = ("skill_required_coverage", "skill_preferred_coverage", "skill_weighte
 SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS skill_required_coverage, CASE WHEN o_orderkey % 5 = 0 THEN 1.0 WHEN o_custkey % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS skill_preferred_coverage,
     round(CASE WHEN o_orderkey % 2 = 0 THEN 0.5 * 2 / 3 ELSE 0 END::DOUBLE, 6) AS skill_weighted_score, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 2 END AS INTEGER) AS missing_required_count, years - exp_min AS exp_gap,
     round(exp(-(CASE WHEN years < coalesce(exp_min, 0) THEN coalesce(exp_min, 0) - years WHEN years > exp_max THEN years - exp_max ELSE 0 END) / 3.0::DOUBLE), 6) AS exp_fit,
-    CAST(CASE WHEN education IS NULL OR profile_education = 'master' OR (profile_education = 'high' AND education = 'high') THEN 1 ELSE 0 END AS INTEGER) AS education_fit, CAST(CASE WHEN region_code IN ('F', 'O') THEN 1 ELSE 0 END AS INTEGER) AS region_match,
+    CAST(CASE WHEN education IS NULL OR profile_education = 'master' OR (profile_education = 'highschool' AND education = 'highschool') THEN 1 ELSE 0 END AS INTEGER) AS education_fit, CAST(CASE WHEN region_code IN ('F', 'O') THEN 1 ELSE 0 END AS INTEGER) AS region_match,
     round(CASE WHEN desired_salary > 0 THEN CAST(salary_min - desired_salary AS DOUBLE) / desired_salary END, 6) AS salary_gap_ratio, 0.6::DOUBLE AS semantic_similarity, 1.0::DOUBLE AS title_similarity, round(ln(1 + views::DOUBLE), 6) AS job_popularity, CAST(date_diff('day', {TODAY}, deadline) AS INTEGER) AS days_until_deadline FROM p""")
 def match_features(spark, d):
     even, texts = F.col("o_orderkey") % 2 == 0, lambda *xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<string>")

@@ -182,7 +182,7 @@ def test_ranking(spark):
 
 def test_features_candidates_and_reasons(spark):
     pair = spark.createDataFrame(
-        [(1, ["a", "b"], {"a": 0.5}, 2.0, "bachelor", ["11"], 40, [1.0, 0.0], "backend", ["a", "c"], [], {"a": 2.0, "c": 1.0}, 3, 5, "associate", "11", 50, [1.0, 0.0], "backend", 0, date(2026, 1, 11))],
+        [(1, ["a", "b"], {"a": 0.5}, 2.0, "bachelor", ["11"], 40, [1.0, 0.0], "backend", ["a", "c"], [], {"a": 2.0, "c": 1.0}, 3, 5, "college", "11", 50, [1.0, 0.0], "backend", 0, date(2026, 1, 11))],
         "id int, held array<string>, levels map<string,double>, years double, profile_education string, wanted_regions array<string>, desired_salary int, profile_vector array<double>, wanted_title string, required array<string>, preferred array<string>, weights map<string,double>, exp_min int, exp_max int, education string, region_code string, salary_min int, job_vector array<double>, title string, views int, deadline date",
     )
     made = rank.features(F.lit("2026-01-01").cast("date"))
