@@ -31,7 +31,7 @@ from lodewell.llm.bpe import SliceEncoder
 from lodewell.llm.common import binary, chunks, open_fs, shared_dir, table
 
 MAGIC = b"LWTOK1"
-#: The dictionary is trained on about so many documents, by the hash of their ids, and so many ids of each; it never changes what is stored.
+#: The dictionary is trained on about so many documents, by the hash of their ids, and on so many code points of each, from a hashed place; it never changes what is stored.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES, LEVEL = 600, 8_000, 64 << 10, 3
 #: Documents a shard, about; shards at most.
 SHARD_DOCS, MOST_SHARDS = 20_000, 20_000
@@ -130,7 +130,9 @@ def write_store(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 0)
     end = np.array([end_id], dtype).tobytes()
 
     unit = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    sample = docs.where((F.col("text") != "") & (unit < min(1.0, SAMPLE_DOCS / max(1, n)))).select(F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    # of longer texts a stretch from a hashed place
+    place = (F.pmod(F.xxhash64("doc_id", F.lit(44)), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)).cast("long") + 1) + 1).cast("int")
+    sample = docs.where((F.col("text") != "") & (unit < min(1.0, SAMPLE_DOCS / max(1, n)))).select(F.substring("text", place, F.lit(SAMPLE_CHARS)).alias("text"))
     trained = list(encoder(tokenizer_path).whole(sorted(r.text for r in sample.collect())))
     dictionary = train_dictionary(trained)
     digest = hashlib.sha256(dictionary).digest()
@@ -267,7 +269,7 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the ids of every text of `documents`, each document's end id 0 with them, to a store, and reads it back; see write_store and read_store.
 
     A null text is the empty one: its end alone. Documents lie in ascending doc_id order, null ids first, equal ids by
-    text. Repeated rows each have a frame. Other columns are ignored; an empty table gives no rows.
+    their frames. Repeated rows each have a frame. Other columns are ignored; an empty table gives no rows.
     """
     out = shared_dir(spark)
     manifest = write_store(table(spark, sf_dir, "documents"), out, public_tokenizers.path("byte_bpe_50k.json"), 0)
