@@ -31,7 +31,7 @@ class Words:
         letter = self.x > 0
         begins = np.zeros(len(self.x), bool)
         begins[1:] = letter[1:] & ~letter[:-1]
-        self.index = np.cumsum(begins, dtype=np.int64) - 1
+        self.index = np.cumsum(begins, dtype=np.int32) - 1
         self.count = int(self.index[-1]) + 1
         self.letter = letter
         #: The text of each word.
@@ -68,4 +68,4 @@ class Words:
         word = self.index[at + (n > 1)]
         if n == 2:
             word = np.where(self.letter[at], self.index[at], word)
-        return word, (h % np.uint32(buckets)).astype(np.int64)
+        return word, (h % np.uint32(buckets)).astype(np.int32)

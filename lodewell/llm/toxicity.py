@@ -88,6 +88,7 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
         grams.append((kind[word[keep]], bucket[keep]))
     word, bucket = (np.concatenate([g[i] for g in grams]).astype(np.int32) for i in (0, 1))
     del grams
+    words.x = words.letter = words.index = None  # of use for n-grams only
     share = 1 / np.maximum(np.bincount(word, minlength=kinds), 1)
     common = frequent(words.owner, kind, word, bucket)
     word, bucket = word[common[bucket]], bucket[common[bucket]]
