@@ -11,6 +11,10 @@ from lodewell.schemas import CATEGORIES
 NEGATED = r"필수가 아닙니다|무관|필요 ?없|(?i)not required"
 #: Words of the longest surface form that is looked for.
 LONGEST_FORM = 5
+#: Forms of a dictionary that go to every executor whole.
+MOST_BROADCAST = 1_000_000
+#: Forms that are listed in the plan, so that other words of texts are left out before the join.
+MOST_LISTED = 2_000
 
 
 def validate(skills: DataFrame) -> DataFrame:
@@ -37,38 +41,54 @@ def surface_forms(skills: DataFrame) -> DataFrame:
 def words(c: Column) -> Column:
     """Every word of a text, lower-cased: letters, digits and the signs that names of skills hold; a sign that ends a sentence is no part."""
     raw = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(?U)[\w+#][\w+#.\-]*"), F.lit(0))
-    return F.transform(raw, lambda x: F.regexp_replace(x, r"[.\-]+$", ""))
+    return F.transform(raw, lambda x: F.rtrim(x, F.lit(".-")))
 
 
 def without_negations(c: Column, pattern: str = NEGATED) -> Column:
     """A text without the lines that say that something is not asked for; what they name is no match."""
-    return F.array_join(F.filter(F.split(F.coalesce(c, F.lit("")), "\n"), lambda line: ~line.rlike(pattern)), "\n")
+    text = F.coalesce(c, F.lit(""))
+    rest = F.array_join(F.filter(F.split(text, "\n"), lambda line: ~line.rlike(pattern)), "\n")
+    # NEGATED has no anchors, so a text without a match has no line with one
+    return F.when(text.rlike(pattern), rest).otherwise(text) if pattern == NEGATED else rest
 
 
 def phrases(c: Column, longest: int) -> Column:
     """Every run of one to `longest` words of a text, joined by one space."""
-    runs = lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.size(c)), lambda i: i <= F.size(c) - n + 1), lambda i: F.array_join(F.slice(c, i, F.lit(n)), " "))
+    runs = lambda n: F.transform(F.slice(c, F.lit(1), F.greatest(F.size(c) - n + 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, *[F.get(c, i + k) for k in range(1, n)]))
     return c if longest == 1 else F.when(F.size(c) > 0, F.flatten(F.array(c, *[runs(n) for n in range(2, longest + 1)]))).otherwise(c)
 
 
-def match_words(texts: DataFrame, key: str, column: str, skills: DataFrame, longest: int | None = None) -> DataFrame:
-    """(key, skill, occurrences): an equi-join of the texts' words and runs of words with the dictionary's forms, then the counts of what matched.
+def word_hits(texts: DataFrame, keys: list[str], column: str, skills: DataFrame, longest: int | None = None) -> DataFrame:
+    """(keys, skill), a row for each occurrence: an equi-join of the texts' words and runs of words with the dictionary's forms.
 
     Forms are cut into words as texts are, so forms of several words match too, up to `longest` of them (the
-    dictionary's longest, LONGEST_FORM at most); a form inside a longer one counts as well. The optimizer broadcasts the forms where their size allows; only
-    matches are ever shuffled then.
+    dictionary's longest, LONGEST_FORM at most); a form inside a longer one counts as well. Up to MOST_BROADCAST forms
+    are broadcast, whatever the optimizer takes the sides' sizes to be: words of texts are never collected or shuffled
+    then, and so a common word is no large group. It is left to the optimizer beyond that.
     """
     forms = surface_forms(skills).select(F.array_join(words(F.col("form")), " ").alias("form"), "skill").where("form <> ''").distinct()
-    if longest is None:
-        longest = min(LONGEST_FORM, forms.agg(F.max(F.size(F.split("form", " ")))).first()[0] or 1)
-    found = texts.withColumn("__words", words(F.col(column))).select(key, F.explode(phrases(F.col("__words"), longest)).alias("form"))
-    return found.join(forms, "form").groupBy(key, "skill").agg(F.count("*").alias("occurrences"))
+    size = forms.agg(F.max(F.size(F.split("form", " "))).alias("longest"), F.count("*").alias("n")).first()
+    longest = longest or min(LONGEST_FORM, size["longest"] or 1)
+    runs = phrases(F.col("__words"), longest)
+    if size["n"] <= MOST_LISTED:  # no runs but in texts with a word that begins one, and no other words
+        known = sorted({r["form"] for r in forms.collect()})
+        heads = sorted({f.split(" ")[0] for f in known if " " in f})
+        runs = F.when(F.arrays_overlap("__words", F.array(*map(F.lit, heads))), runs).otherwise(F.col("__words")) if heads else F.col("__words")
+        runs = F.filter(runs, lambda x: x.isin(known))
+    found = texts.withColumn("__words", words(F.col(column))).select(*keys, F.explode(runs).alias("form"))
+    return found.join(F.broadcast(forms) if size["n"] <= MOST_BROADCAST else forms, "form").select(*keys, "skill")
+
 
+def match_words(texts: DataFrame, key: str, column: str, skills: DataFrame, longest: int | None = None) -> DataFrame:
+    """(key, skill, occurrences) of word_hits; only matches are ever shuffled."""
+    return word_hits(texts, [key], column, skills, longest).groupBy(key, "skill").agg(F.count("*").alias("occurrences"))
 
-def match_patterns(texts: DataFrame, key: str, column: str, patterns: dict[str, str]) -> DataFrame:
+
+def match_patterns(texts: DataFrame, key: str | list[str], column: str, patterns: dict[str, str]) -> DataFrame:
     """The same by a regex for each skill (Java syntax, look-around allowed): one pass over the texts."""
+    keys = [key] if isinstance(key, str) else key
     hits = [F.struct(F.lit(k).alias("skill"), F.regexp_count(F.coalesce(F.col(column), F.lit("")), F.lit(p)).cast("long").alias("occurrences")) for k, p in patterns.items()]
-    return texts.select(key, F.explode(F.filter(F.array(*hits), lambda x: x["occurrences"] > 0)).alias("x")).select(key, "x.*")
+    return texts.select(*keys, F.explode(F.filter(F.array(*hits), lambda x: x["occurrences"] > 0)).alias("x")).select(*keys, "x.*")
 
 
 def job_skills(required: DataFrame, preferred: DataFrame, key: str, extracted_by: str = "dict_v1", confidence: Column | None = None) -> DataFrame:
@@ -76,23 +96,27 @@ def job_skills(required: DataFrame, preferred: DataFrame, key: str, extracted_by
 
     A skill of both parts is required. confidence is 1 unless given as an expression of the other columns; it is kept within 0 and 1.
     """
-    both = required.withColumn("is_required", F.lit(True)).unionByName(preferred.withColumn("is_required", F.lit(False)))
-    found = both.groupBy(key, "skill").agg(F.max("is_required").alias("is_required"), F.sum("occurrences").alias("occurrences"))
+    return united(required.withColumn("is_required", F.lit(True)).unionByName(preferred.withColumn("is_required", F.lit(False))), key, extracted_by, confidence)
+
+
+def united(hits: DataFrame, key: str, extracted_by: str = "dict_v1", confidence: Column | None = None) -> DataFrame:
+    """job_skills of (key, skill, is_required, occurrences) in any number of rows for each skill."""
+    found = hits.groupBy(key, "skill").agg(F.max("is_required").alias("is_required"), F.sum("occurrences").alias("occurrences"))
     sure = F.lit(1.0) if confidence is None else F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence))
     return found.withColumns({"confidence": sure.cast("float"), "extracted_by": F.lit(extracted_by)})
 
 
 def extract(jobs: DataFrame, dictionary: DataFrame, key: str = "source_id", extracted_by: str = "dict_v1") -> DataFrame:
-    """job_skills of flat postings (see normalize): the dictionary's forms and patterns in the tasks and requirements, which are required, and in the preferences. Negated lines do not count; of a skill with patterns only these are looked for."""
-    patterns = {r["name"]: "|".join(f"(?:{p})" for p in r["match_patterns"]) for r in dictionary.where(F.size("match_patterns") > 0).select("name", "match_patterns").collect()}
-
-    def found(text: Column) -> DataFrame:
-        texts = jobs.select(key, without_negations(text).alias("__text"))
-        hits = match_words(texts, key, "__text", dictionary)
-        return hits.unionByName(match_patterns(texts, key, "__text", patterns)) if patterns else hits
+    """job_skills of flat postings (see normalize): the dictionary's forms and patterns in the tasks and requirements, which are required, and in the preferences. Negated lines do not count; of a skill with patterns only these are looked for.
 
-    required = F.concat_ws("\n", "sections.main_tasks", "sections.requirements")
-    return job_skills(found(required), found(F.col("sections.preferred")), key, extracted_by)
+    Both parts are taken in one pass over the postings, and the matches are counted once.
+    """
+    patterns = {r["name"]: "|".join(f"(?:{p})" for p in r["match_patterns"]) for r in dictionary.where(F.size("match_patterns") > 0).select("name", "match_patterns").collect()}
+    part = lambda required, text: F.struct(F.lit(required).alias("is_required"), without_negations(text).alias("__text"))
+    parts = F.array(part(True, F.concat_ws("\n", "sections.main_tasks", "sections.requirements")), part(False, F.col("sections.preferred")))
+    texts, keys = jobs.select(key, F.explode(parts).alias("x")).select(key, "x.*"), [key, "is_required"]
+    hits = word_hits(texts, keys, "__text", dictionary).withColumn("occurrences", F.lit(1).cast("long"))
+    return united(hits.unionByName(match_patterns(texts, keys, "__text", patterns)) if patterns else hits, key, extracted_by)
 
 
 def jobs_with(jobs: DataFrame, found: DataFrame, key: str, skill: str, required: bool | None = True) -> DataFrame:

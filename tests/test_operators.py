@@ -194,3 +194,24 @@ def test_features_candidates_and_reasons(spark):
     jobs = spark.createDataFrame([(i, [float(i), 1.0], "11" if i % 2 else "26", "dev", 1, 9) for i in range(8)], "vec_id int, embedding array<double>, region_code string, job_category string, exp_min int, exp_max int")
     near = rank.candidates(jobs, F.array(F.lit(1.0), F.lit(0.0)), regions=("11",), years=3, k=2)
     assert [r.vec_id for r in near.collect()] == [7, 5]
+
+
+def test_extraction_takes_postings_once(spark, monkeypatch):
+    """Both parts come from one pass, whatever sizes the optimizer takes, and dictionaries that are listed, broadcast or joined give the same rows."""
+    from lodewell.operators import normalize
+    from lodewell.sources import synthetic
+
+    p = synthetic.postings(spark, 300)
+    flat = normalize.flatten(p.select(F.lit("sample").alias("source"), "payload", F.col("idx").alias("id"), F.lit("2026-09-15 00:00:00").cast("timestamp").alias("fetched_at")))
+    known = dictionary(spark, [(s, "tool", [synthetic.ALIASES[s]] if s in synthetic.ALIASES else [], []) for s in synthetic.SKILLS])
+    rows = lambda: sorted(tuple(r) for r in skills.extract(flat, known).collect())
+    found = skills.extract(flat, known)
+    plan = found._jdf.queryExecution()
+    assert plan.optimizedPlan().toString().count("Range (") == 1 and "BuildLeft" not in plan.executedPlan().toString()
+    got = rows()
+    assert {r[1] for r in got} == set(synthetic.SKILLS)
+    monkeypatch.setattr(skills, "MOST_LISTED", 0)
+    assert rows() == got
+    monkeypatch.setattr(skills, "MOST_BROADCAST", 0)
+    assert rows() == got
+    assert synthetic.postings(spark, 600_001).rdd.getNumPartitions() == 4 and synthetic.postings(spark, 2_000_001).rdd.getNumPartitions() == 9
