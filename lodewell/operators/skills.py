@@ -15,6 +15,8 @@ LONGEST_FORM = 5
 MOST_BROADCAST = 1_000_000
 #: Forms that are listed in the plan, so that other words of texts are left out before the join.
 MOST_LISTED = 2_000
+#: Matches of one task of united, for which it holds an aggregate each in memory at most.
+ROWS = 500_000
 
 
 def validate(skills: DataFrame) -> DataFrame:
@@ -99,8 +101,17 @@ def job_skills(required: DataFrame, preferred: DataFrame, key: str, extracted_by
     return united(required.withColumn("is_required", F.lit(True)).unionByName(preferred.withColumn("is_required", F.lit(False))), key, extracted_by, confidence)
 
 
-def united(hits: DataFrame, key: str, extracted_by: str = "dict_v1", confidence: Column | None = None) -> DataFrame:
-    """job_skills of (key, skill, is_required, occurrences) in any number of rows for each skill."""
+def shares(df: DataFrame, rows: int) -> int:
+    """The number of partitions in which about ROWS of the rows are in each, whatever number shuffles have."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS))
+
+
+def united(hits: DataFrame, key: str, extracted_by: str = "dict_v1", confidence: Column | None = None, partitions: int | None = None) -> DataFrame:
+    """job_skills of (key, skill, is_required, occurrences) in any number of rows for each skill.
+
+    With `partitions` (see shares) the rows are dealt by key before anything is aggregated, so that a task's memory does not grow with the input.
+    """
+    hits = hits if partitions is None else hits.repartition(partitions, key)
     found = hits.groupBy(key, "skill").agg(F.max("is_required").alias("is_required"), F.sum("occurrences").alias("occurrences"))
     sure = F.lit(1.0) if confidence is None else F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence))
     return found.withColumns({"confidence": sure.cast("float"), "extracted_by": F.lit(extracted_by)})

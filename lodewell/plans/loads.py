@@ -162,11 +162,9 @@ JOB_SKILLS_SQL = f"WITH b AS ({FOUND.format('R').replace('SELECT l', 'SELECT tru
 
 
 def found_skills(spark, d) -> DataFrame:
-    def part(flag: str) -> DataFrame:
-        rows = t(spark, d, "lineitem").where(F.col("l_returnflag") == flag)
-        return rows.groupBy("l_orderkey", F.concat("l_linestatus", F.col("l_suppkey") % 8).alias("skill")).agg(F.count("*").alias("occurrences"))
-
-    return skills.job_skills(part("R"), part("A"), "l_orderkey", confidence=F.when(F.col("is_required"), 1.0).otherwise(0.5))
+    lines = t(spark, d, "lineitem")
+    hits = lines.where(F.col("l_returnflag").isin("R", "A")).select("l_orderkey", F.concat("l_linestatus", F.col("l_suppkey") % 8).alias("skill"), (F.col("l_returnflag") == "R").alias("is_required"), F.lit(1).cast("long").alias("occurrences"))
+    return skills.united(hits, "l_orderkey", confidence=F.when(F.col("is_required"), 1.0).otherwise(0.5), partitions=skills.shares(lines, lines.count()))
 
 
 @query(f"{JOB_SKILLS_SQL} SELECT l_orderkey, skill, is_required, occurrences, CAST(CASE WHEN is_required THEN 1 ELSE 0.5 END AS FLOAT) AS confidence, 'dict_v1' AS extracted_by FROM j")

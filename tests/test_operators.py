@@ -215,3 +215,13 @@ def test_extraction_takes_postings_once(spark, monkeypatch):
     monkeypatch.setattr(skills, "MOST_BROADCAST", 0)
     assert rows() == got
     assert synthetic.postings(spark, 600_001).rdd.getNumPartitions() == 4 and synthetic.postings(spark, 2_000_001).rdd.getNumPartitions() == 9
+
+
+def test_job_skills_are_dealt_by_the_number_of_rows(spark, monkeypatch):
+    """A task has as many rows whatever the input's size, not a fixed share of them; and a posting's rows meet."""
+    hits = spark.range(4_000).select((F.col("id") % 1_000).alias("job"), F.lit("Go").alias("skill"), (F.col("id") < 1_000).alias("is_required"), F.lit(1).cast("long").alias("occurrences"))
+    monkeypatch.setattr(skills, "ROWS", 100)
+    n = skills.shares(hits, 4_000)
+    found = skills.united(hits, "job", partitions=n)
+    assert n == 40 == found.rdd.getNumPartitions() and skills.shares(hits, 10) == 4
+    assert found.count() == 1_000 == found.where("is_required AND occurrences = 4").count()
