@@ -88,3 +88,15 @@ def test_scrub_nested(spark):
 def test_row_hash_counts_nulls(spark):
     df = spark.createDataFrame([("a", None), ("a", "b")], "y string, x string")
     assert df.select(row_hash(["y", "x"]).alias("h")).distinct().count() == 2
+
+
+def test_filters_make_and_parse_payloads_once(spark):
+    """The contract's filter stays above the parse, so a payload is scrubbed and parsed once."""
+    import re
+
+    from lodewell.operators import raw
+
+    rows = spark.range(3).selectExpr("id", "'s' AS source", "concat('{\"wantedAuthNo\":\"', id, '\",\"wantedInfo\":{\"wantedTitle\":\"x\"}}') AS payload", "timestamp'2026-09-15' AS fetched_at")
+    jobs = normalize.normalize(raw.documents(rows)).jobs
+    plan = jobs.select("source_id", "title", "exp_min")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"from_json\(", plan)) == 1 and len(re.findall(r"\bscrub\(", plan)) == 1
