@@ -15,6 +15,7 @@ import unicodedata
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 
 L, N, O, A1, A2, SPACE_END, WHITE_END, WHITE, STOP = range(9)
 INIT, IN_L, IN_N, IN_O, IN_WHITE, LED, ONE_LEFT, TWO_LEFT, DONE = range(9)
@@ -137,13 +138,32 @@ def pieces(text: str, limit: int) -> list[str]:
     return [*out, text[at:]]
 
 
-def split(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """All slices of the texts in order; where each text's slices begin and end among them; each slice's code point offset in the texts joined by single separators."""
+def places(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
+    """The texts joined by single separators, where slices begin in them, and where the separators are."""
     joined = "\n".join(texts) + "\n"
     cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     stops = np.cumsum([len(t) + 1 for t in texts]) - 1
-    starts = slice_starts(symbols(cp, stops))
+    return joined, slice_starts(symbols(cp, stops)), stops
+
+
+def spans(starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Where each text's slices begin and end among all; the separators are slices between them."""
+    ends = np.searchsorted(starts, stops)
+    return np.stack([np.concatenate([[0], ends[:-1] + 1]), ends], 1)
+
+
+def split(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """All slices of the texts in order; where each text's slices begin and end among them; each slice's code point offset in the texts joined by single separators."""
+    joined, starts, stops = places(texts)
     at = starts.tolist()
     slices = [joined[a:b] for a, b in zip(at, [*at[1:], len(joined)], strict=True)]
-    ends = np.searchsorted(starts, stops)
-    return slices, np.stack([np.concatenate([[0], ends[:-1] + 1]), ends], 1), starts
+    return slices, spans(starts, stops), starts
+
+
+def split_bytes(texts: list[str]) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+    """All slices of the texts in order, as UTF-8 in one buffer without an object for each; where each text's slices begin and end among them."""
+    joined, starts, stops = places(texts)
+    data = joined.encode("utf-8", "surrogatepass")
+    at = starts if len(data) == len(joined) else np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)[starts]
+    offsets = np.append(at, len(data)).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]), spans(starts, stops)

@@ -19,6 +19,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
@@ -29,12 +30,15 @@ from pyspark.sql import functions as F
 
 from lodewell.llm.bpe import SliceEncoder
 from lodewell.llm.common import binary, chunks, open_fs, shared_dir, table
+from lodewell.llm.pretokenize import split_bytes
 
 MAGIC = b"LWTOK1"
 #: The dictionary is trained on about so many documents, by the hash of their ids, and on so many code points of each, from a hashed place; it never changes what is stored.
 SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES, LEVEL = 600, 8_000, 64 << 10, 3
 #: Documents a shard, about; shards at most.
 SHARD_DOCS, MOST_SHARDS = 20_000, 20_000
+#: Code points whose distinct slices are numbered at once, and how many of these are looked up at once.
+RUN_CHARS, SOME = 8 << 20, 100_000
 
 
 @lru_cache(2)
@@ -63,14 +67,36 @@ def added(path: str) -> tuple[re.Pattern | None, dict[str, int]]:
     return re.compile("(" + "|".join(map(re.escape, longest)) + ")") if tokens else None, {t["content"]: t["id"] for t in tokens}
 
 
+def unpacked(a: pa.LargeBinaryArray) -> tuple[np.ndarray, bytes]:
+    """A whole array's offsets and bytes."""
+    return np.frombuffer(a.buffers()[1], np.int64, len(a) + 1, 8 * a.offset), (a.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
+
+
 class TokenEncoder(SliceEncoder):
-    """Whole texts as the tokenizers library encodes them: the texts between added tokens by slices, added tokens as their own ids."""
+    """Whole texts as the tokenizers library encodes them: the texts between added tokens by slices, added tokens as their own ids.
+
+    Slices are UTF-8 bytes here. Arrow numbers the distinct ones of a run, only those become Python objects, and the
+    texts' ids are taken by number.
+    """
 
     def __init__(self, ids_of, dtype: str, path: str):
         super().__init__(ids_of, dtype)
         self.pattern, ids = added(path)
         self.own = {t: np.array([i], dtype).tobytes() for t, i in ids.items()}
 
+    def texts(self, texts: list[str], offsets: bool = False) -> Iterator[tuple[bytes, None, None]]:
+        if offsets:
+            raise ValueError("a store has no slice offsets")
+        runs = [split_bytes(t) for _, t in chunks(texts)]
+        coded = pa.chunked_array([slices for slices, _ in runs]).dictionary_encode()  # one dictionary for all chunks
+        at, raw = unpacked(coded.chunk(0).dictionary)
+        some = (at[i : i + SOME + 1].tolist() for i in range(0, len(at) - 1, SOME))
+        ids = pa.concat_arrays([pa.array(self([raw[a:b] for a, b in pairwise(x)]), pa.large_binary()) for x in some])
+        for (_, spans), run in zip(runs, coded.chunks, strict=True):
+            at, raw = unpacked(ids.take(run.indices))
+            for a, b in at[spans].tolist():
+                yield raw[a:b], None, None
+
     def whole(self, texts: list[str]) -> Iterator[bytes]:
         """Id bytes of each text."""
         if self.pattern is None or not any(t in x for x in texts for t in self.own):
@@ -85,18 +111,20 @@ class TokenEncoder(SliceEncoder):
 def encoder(path: str) -> TokenEncoder:
     """Slices by the pre-tokeniser, their ids from the tokenizers library."""
     bpe, alphabet, dtype = model(path)
-    tokenize, space = bpe.tokenize, alphabet[32]
+    tokenize = bpe.tokenize
 
-    def ids_of(word: str) -> list[int]:
-        if word.isascii() and word.isprintable():  # these bytes stand for themselves, but for the space
-            shown = word.replace(" ", space)
-        else:
-            shown = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(alphabet)
-        return [t.id for t in tokenize(shown)]
+    def ids_of(word: bytes) -> list[int]:
+        return [t.id for t in tokenize(word.decode("latin-1").translate(alphabet))]
 
     return TokenEncoder(ids_of, dtype, path)
 
 
+@lru_cache(1)
+def kept_encoder(path: str) -> TokenEncoder:
+    """A worker's own encoder, whose slices stay known from task to task."""
+    return encoder(path)
+
+
 def train_dictionary(samples: list[bytes]) -> bytes:
     """A zstandard dictionary of the samples; of too few to train on, their own bytes."""
     try:
@@ -138,11 +166,11 @@ def write_store(docs: DataFrame, out: str, tokenizer_path: str, end_id: int = 0)
     digest = hashlib.sha256(dictionary).digest()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, pack = encoder(tokenizer_path), zstandard.ZstdCompressor(LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary))
+        encode, pack = kept_encoder(tokenizer_path), zstandard.ZstdCompressor(LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary))
         width = np.dtype(dtype).itemsize
         for batch in batches:
             doc_ids = batch.column(0)
-            for first, texts in chunks(batch.column(1).to_pylist()):
+            for first, texts in chunks(batch.column(1).to_pylist(), RUN_CHARS):
                 here = doc_ids.slice(first, len(texts))
                 raw = [ids + end for ids in encode.whole(texts)]
                 shard = np.searchsorted(bounds, here.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), "right")

@@ -187,6 +187,21 @@ def test_store_has_the_ids_of_added_tokens(spark):
     assert [r.start for r in got] == np.cumsum([0, *map(len, want[:-1])]).tolist()
 
 
+def test_store_looks_up_only_distinct_slices(monkeypatch):
+    """Over several runs of texts, one of them longer than a run, with slices that differ in their bytes' widths."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tk = Tokenizer.from_file(path)
+    texts = ["né the  word\n" * 50_000, "", "other the 😀 " * 60_000, "  \n\n", "x's " * 600_000, "né the end"]
+    looked_up, call = [], bpe.SliceEncoder.__call__
+    monkeypatch.setattr(tokenstore, "SOME", 5, raising=False)
+    monkeypatch.setattr(bpe.SliceEncoder, "__call__", lambda self, slices: looked_up.extend(slices) or call(self, slices))
+    got = list(tokenstore.encoder(path).whole(texts))
+    assert got == [np.array(tk.encode(t, add_special_tokens=False).ids, tokenstore.model(path)[2]).tobytes() for t in texts]
+    assert len(looked_up) < 40
+
+
 # Classifiers
 
 
